@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.names import dataset_key
+from scoreloom.runtime import Scratch
 
 FEATURES = ("logp_a", "rank_a", "logrank_a", "entropy_a", "logp_b", "cross_entropy_ba")
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
@@ -234,3 +235,14 @@ def percentiles(sketches: DataFrame, at: Sequence[float] = PERCENTILES, k: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return sketches.select(_NAMES).mapInArrow(run, f"{_KEYS}, n bigint, percentile double, value double, rank_error double")
+
+
+def all_percentiles(rows: DataFrame) -> DataFrame:
+    """(dataset, scope, day, feature, n, percentile, value, rank_error): of each day, and of all days combined from the days' sketches.
+
+    ``scope`` is ``day`` or ``all``; the sketches of days are written once and read by both.
+    """
+    daily = Scratch(rows.sparkSession, "quantiles").save(daily_sketches(rows))
+    whole = percentiles(combine(daily)).withColumn("scope", F.lit("all"))
+    each = percentiles(daily).withColumn("scope", F.lit("day"))
+    return each.unionByName(whole).select("dataset", "scope", "day", "feature", "n", "percentile", "value", "rank_error")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import leakage, nearcopies, quantiles, repetition, splits, tokenize
+from scoreloom.llm import leakage, nearcopies, pairs, quantiles, repetition, splits, tokenize
 from scoreloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,8 @@ def _leaks(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": _on("clean", pairs.broken_pairs),
+        "p1_defect_rates": _on("clean", pairs.defect_rates),
         "p2_found": _on("clean", splits.tied_samples),
         "p2_splits": _on("clean", splits.split_rows),
         "p3_found": _on("clean", repetition.repetitive),
@@ -29,8 +31,7 @@ def queries() -> dict[str, Query]:
         "p3_generators": _on("clean", repetition.generator_means),
         "p4_found": _on("clean", nearcopies.near_copy_pairs),
         "p4_groups": _on("clean", nearcopies.near_copies),
-        "p5_percentiles": _on("score_real_text", lambda t: quantiles.percentiles(quantiles.combine(quantiles.daily_sketches(t))).drop("day")),
-        "p5_daily_percentiles": _on("score_real_text", lambda t: quantiles.percentiles(quantiles.daily_sketches(t))),
+        "p5_percentiles": _on("score_real_text", quantiles.all_percentiles),
         "p6_ids": _on("documents", tokenize.encode),
         "p7_found": _leaks(leakage.leaked_pairs),
         "p7_items": _leaks(leakage.item_report),
