@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import leakage, nearcopies, pairs, quantiles, repetition, splits, tokenize
+from scoreloom.llm import abuse, leakage, nearcopies, pairs, quantiles, repetition, splits, tokenize
 from scoreloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def _leaks(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def _abuse(fn: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(*(table(spark, sf_dir, t) for t in ("documents", "abuse_reviews", "abuse_terms")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _on("clean", pairs.broken_pairs),
@@ -35,6 +39,9 @@ def queries() -> dict[str, Query]:
         "p6_ids": _on("documents", tokenize.encode),
         "p7_found": _leaks(leakage.leaked_pairs),
         "p7_items": _leaks(leakage.item_report),
+        "p8_found": _abuse(abuse.abusive_docs),
+        "p8_scores": _abuse(abuse.scored),
+        "p8_sources": _abuse(abuse.source_rates),
     }
 
 
