@@ -6,15 +6,14 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scoreloom.functions.names import path_name
 
-TEXT_ROW = T.StructType.fromDDL(
+TEXT_ROW = (
     "dataset string, example_id string, sample_id bigint, prompt string, label string, text string, source string, "
     "contamination_mode string, contamination_ratio double, generator_model string, evaluator_model string"
 )
-SCORED_ROW = T.StructType.fromDDL(
+SCORED_ROW = (
     "dataset string, example_id string, sample_id bigint, prompt string, label string, text string, source string, "
     "contamination_mode string, contamination_ratio double, generator_model string, evaluator_model string, "
     "scoring_observer_model string, scoring_reference_model string, num_scored_tokens int, "
@@ -26,7 +25,7 @@ SCORED_ROW = T.StructType.fromDDL(
 CORPORA = {"xsum": ("document",), "squad": ("context",), "writingprompts": ("story", "text", "completion")}
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = TEXT_ROW) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str = TEXT_ROW) -> DataFrame:
     """One JSON object a line; blank lines are skipped and a bad line fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
