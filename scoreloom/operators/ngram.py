@@ -19,9 +19,9 @@ ALPHA = 0.1
 
 def tokens(rows: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, pos, word, ctx): words with their contexts; the first word has an empty context."""
-    array = words(F.col(text_col))
-    before = F.transform(array, lambda w, i: F.struct(i.alias("pos"), w.alias("word"), F.when(i > 0, F.lower(F.substring(F.get(array, i - 1), 1, 1))).otherwise("").alias("ctx")))
-    return rows.select(F.col(id_col).alias("id"), F.inline(before))
+    each = rows.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("_w"))
+    first = F.concat(F.array(F.lit("")), F.transform("_w", lambda w: F.lower(F.substring(w, 1, 1))))
+    return each.select("id", F.posexplode(F.zip_with("_w", first, lambda w, c: F.struct(w.alias("word"), c.alias("ctx"))))).filter("col.word is not null").select("id", "pos", "col.word", "col.ctx")
 
 
 def counts(token_rows: DataFrame) -> DataFrame:

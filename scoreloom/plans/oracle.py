@@ -73,6 +73,10 @@ def score(method: str, d: object = 1, spec: dict | None = None, of: str = "token
     return mean(minus(numbers("logp_a", of), numbers("logp_b", of)))
 
 
+def shown(x: str) -> str:
+    return f"floor(({x}) * CAST(1e6 AS DOUBLE) + CAST(0.500001 AS DOUBLE)) / CAST(1e6 AS DOUBLE)"
+
+
 DATASET = r"regexp_replace(lower(dataset), '[\s_\-]+', '', 'g')"
 RATIO = "round(coalesce(contamination_ratio, 0), 6)"
 SCORED = f"s AS (SELECT *, {RATIO} AS ratio, {DATASET} AS dataset_key, CASE WHEN scoring_reference_model IS NULL THEN 'primary' ELSE 'binoculars' END AS score_source FROM score_real_text)"
@@ -216,8 +220,8 @@ def oracle_sql() -> dict[str, str]:
         "ga AS (SELECT *, ranked[1:k] AS top, list_transform(range(0, k), lambda j: least(len(ls) - 1, CAST(floor((j + CAST(0.5 AS DOUBLE)) * len(ls) / k) AS BIGINT))) AS spot FROM gk) "
         f"SELECT sample_id, ratio, k, len(ls) AS n_sentences, CASE WHEN k = 0 THEN llm_continuation ELSE array_to_string({tail_mixed}, ' ') END AS text FROM ga",
         "ngram_scores": _ngram(),
-        "doc_scores_raw": "SELECT score_id, " + ", ".join(f"round({score(m)}, 10) AS {m}" for m in (*METHODS, "likelihood_ratio")) + " FROM score_real_text",
-        "doc_scores_clipped": "SELECT score_id, " + ", ".join(f"round({score(m, d, spec)}, 10) AS {m}" for m, (d, spec) in FIXED.items()) + " FROM score_real_text",
+        "doc_scores_raw": "SELECT score_id, " + ", ".join(f"{shown(score(m))} AS {m}" for m in (*METHODS, "likelihood_ratio")) + " FROM score_real_text",
+        "doc_scores_clipped": "SELECT score_id, " + ", ".join(f"{shown(score(m, d, spec))} AS {m}" for m, (d, spec) in FIXED.items()) + " FROM score_real_text",
         "stored_scores": "SELECT method, count(stored) AS n_stored, count(score) AS n_scored, count(*) FILTER (abs(stored - score) > 0.01) AS n_differ FROM ("
         + " UNION ALL ".join(f"SELECT '{m}' AS method, doc_scores.{m} AS stored, round({score(m)}, 10) AS score FROM score_real_text" for m in kept) + ") GROUP BY method",
         "stale_counts": f"SELECT {DATASET} AS dataset_key, count(*) AS n_rows, count(len(token_features.logp_a)) AS n_with_tokens, count(*) FILTER (len(token_features.logp_a) <> num_scored_tokens) AS n_stale FROM score_real_text GROUP BY 1",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.functions.arrays import at_least, mean, number, settled
+from scoreloom.functions.arrays import at_least, mean, number
 from scoreloom.functions.text import join_sentences, sentences, word_count
 from scoreloom.operators import evaluate as E
 from scoreloom.operators import metrics as M
@@ -17,7 +17,7 @@ from scoreloom.operators import samples as S
 from scoreloom.operators import synthetic as Y
 from scoreloom.operators.quantiles import quantiles
 from scoreloom.operators.scores import METHODS, SINGLE, available_methods, clipped_score, feature, long_scores, raw_score, raw_scores
-from scoreloom.runtime import table
+from scoreloom.runtime import Scratch, table
 from scoreloom.sources import records as R
 from scoreloom.sources import reports as T
 
@@ -42,12 +42,15 @@ def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, contamination_mode, ratio, dataset_key, method, score): raw scores of each method's source, larger for machine texts."""
-    keep = ("label", "contamination_mode", "ratio", "dataset_key", "score_source")
-    long = long_scores(raw_scores(scored(spark, sf_dir)), keep)
-    own = F.when(F.col("method") == "binoculars", "binoculars").otherwise("primary")
-    long = long.filter(F.col("score_source") == own)
+    keep = ("label", "contamination_mode", "ratio", "dataset_key")
+    long = Scratch(spark, "oriented").save(E._scores(scored(spark, sf_dir), keep, {m: [{}] for m in METHODS}, {m: 1 for m in METHODS}))
     directions = M.orientation(long, ["method"], S.is_clean("human"), S.is_clean("llm")).select("method", "direction")
-    return long.join(F.broadcast(directions), "method").withColumn("score", F.col("score") * F.col("direction"))
+    return long.join(F.broadcast(directions), "method").select(*keep, "method", (F.col("score") * F.col("direction")).alias("score"))
+
+
+def shown(score: Column) -> Column:
+    """A score with six decimals, ties raised whatever the last bit."""
+    return F.floor(score * 1e6 + 0.500001) / 1e6
 
 
 def first_text_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,17 +99,17 @@ def contaminate_tail_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "clean").filter("text is not null and label in ('human', 'llm')")
-    found = N.token_features(rows, rows.filter("label = 'llm'"), rows.filter("label = 'human'"))
+    found = Scratch(spark, "ngram").save(N.token_features(rows, rows.filter("label = 'llm'"), rows.filter("label = 'human'")))
     return found.select("row_id", "num_scored_tokens", *(F.round(raw_score(m), 6).alias(m) for m in METHODS))
 
 
 def doc_scores_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_scores(table(spark, sf_dir, "score_real_text"), (*METHODS, "likelihood_ratio")).select("score_id", *METHODS, "likelihood_ratio")
+    return table(spark, sf_dir, "score_real_text").select("score_id", *(shown(raw_score(m)).alias(m) for m in (*METHODS, "likelihood_ratio")))
 
 
 def doc_scores_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "score_real_text")
-    return rows.select("score_id", *(settled(clipped_score(m, F.lit(d), spec)).alias(m) for m, (d, spec) in FIXED.items()))
+    return rows.select("score_id", *(shown(clipped_score(m, F.lit(d), spec)).alias(m) for m, (d, spec) in FIXED.items()))
 
 
 def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
