@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.llm import abuse, leakage, nearcopies, pairs, quantiles, repetition, splits, tokenize
+from scoreloom.llm.oracle import oracle_sql  # noqa: F401
 from scoreloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +44,3 @@ def queries() -> dict[str, Query]:
         "p8_scores": _abuse(abuse.scored),
         "p8_sources": _abuse(abuse.source_rates),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
