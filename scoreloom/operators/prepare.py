@@ -81,9 +81,13 @@ def clean_rows(examples: DataFrame) -> DataFrame:
 
 
 def grid(examples: DataFrame, ratios: Sequence[float] = RATIOS, modes: Sequence[str] = MODES) -> DataFrame:
-    """One row for each example, ratio and mode; the configuration is inlined, so nothing is joined."""
+    """One row for each example, ratio and mode, with the sentences of both texts.
+
+    Sentences are cut once an example; the configuration is inlined, so nothing is joined.
+    """
+    cut = examples.withColumn("llm_sentences", sentences(F.col("llm_continuation"))).withColumn("human_sentences", sentences(F.col("human_continuation")))
     cells = F.array(*(F.struct(F.lit(i).alias("ratio_index"), F.lit(float(r)).alias("ratio"), F.lit(m).alias("mode")) for i, r in enumerate(ratios) for m in modes))
-    return examples.select("*", F.inline(cells))
+    return cut.select("*", F.inline(cells))
 
 
 def _k(n: Column, ratio: Column) -> Column:
@@ -97,18 +101,17 @@ def contaminate_random(grid_rows: DataFrame, seed: int = 0) -> DataFrame:
     least one and at most all; a ratio of 0 or a text without sentences stays
     as it is.  Places and draws come from hashes of sample, ratio and slot.
     """
-    n, m = F.size("_l"), F.size("_h")
+    n, m = F.size("llm_sentences"), F.size("human_sentences")
     place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(stable_hash(F.col("sample_id") * 100_003 + F.col("ratio_index") * 1_009 + i, seed).alias("h"), i.alias("i")))
     chosen = F.transform(F.slice(F.array_sort(place), F.lit(1), F.col("k")), lambda x: x["i"])
     mixed = F.transform(
-        F.col("_l"),
-        lambda s, i: F.when(F.array_contains("_at", i), F.element_at("_h", (F.pmod(stable_hash(F.col("sample_id") * 99_991 + F.col("ratio_index") * 997 + i, seed + 1), m) + 1).cast("int"))).otherwise(s),
+        F.col("llm_sentences"),
+        lambda s, i: F.when(F.array_contains("_at", i), F.element_at("human_sentences", (F.pmod(stable_hash(F.col("sample_id") * 99_991 + F.col("ratio_index") * 997 + i, seed + 1), m) + 1).cast("int"))).otherwise(s),
     )
-    own = grid_rows.withColumn("_l", sentences(F.col("llm_continuation"))).withColumn("_h", sentences(F.col("human_continuation")))
     off = (n == 0) | (m == 0) | (F.col("ratio") <= 0)
-    own = own.withColumn("k", F.when(off, 0).otherwise(_k(n, F.col("ratio")))).withColumn("_at", F.when(F.col("k") > 0, chosen))
+    own = grid_rows.withColumn("k", F.when(off, 0).otherwise(_k(n, F.col("ratio")))).withColumn("_at", F.when(F.col("k") > 0, chosen))
     text = F.when(F.col("k") == 0, F.col("llm_continuation")).otherwise(join_sentences(mixed))
-    return own.withColumn("text", text).withColumn("n_sentences", n).drop("_l", "_h", "_at")
+    return own.withColumn("text", text).withColumn("n_sentences", n).drop("llm_sentences", "human_sentences", "_at")
 
 
 def unigram_costs(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -132,8 +135,8 @@ def contaminate_tail(grid_rows: DataFrame, costs: DataFrame) -> DataFrame:
     ``costs`` has (sample_id, costs), one cost for each human sentence; of
     equal costs the later sentence comes first.
     """
-    own = grid_rows.join(costs, "sample_id").withColumn("_l", sentences(F.col("llm_continuation"))).withColumn("_h", sentences(F.col("human_continuation")))
-    n, m = F.size("_l"), F.size("_h")
+    own = grid_rows.join(costs, "sample_id")
+    n, m = F.size("llm_sentences"), F.size("human_sentences")
     off = (n == 0) | (m == 0) | (F.col("ratio") <= 0)
     own = own.withColumn("k", F.when(off, 0).otherwise(F.least(m, _k(n, F.col("ratio")))))
     ranked = F.reverse(F.array_sort(F.zip_with("costs", F.sequence(F.lit(0), m - 1), lambda c, i: F.struct(c.alias("c"), i.alias("i")))))
@@ -141,8 +144,8 @@ def contaminate_tail(grid_rows: DataFrame, costs: DataFrame) -> DataFrame:
     spot = F.transform(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0))), lambda j: F.least(n - 1, F.floor((j + 0.5) * n / F.col("k")).cast("int")))
     own = own.withColumn("_spot", F.when(F.col("k") > 0, spot))
     mixed = F.transform(
-        F.col("_l"),
-        lambda s, i: F.when(F.array_contains("_spot", i), F.element_at("_h", F.element_at("_top", F.array_position("_spot", i).cast("int")) + 1)).otherwise(s),
+        F.col("llm_sentences"),
+        lambda s, i: F.when(F.array_contains("_spot", i), F.element_at("human_sentences", F.element_at("_top", F.array_position("_spot", i).cast("int")) + 1)).otherwise(s),
     )
     text = F.when(F.col("k") == 0, F.col("llm_continuation")).otherwise(join_sentences(mixed))
-    return own.withColumn("text", text).withColumn("n_sentences", n).drop("_l", "_h", "_top", "_spot", "costs")
+    return own.withColumn("text", text).withColumn("n_sentences", n).drop("llm_sentences", "human_sentences", "_top", "_spot", "costs")

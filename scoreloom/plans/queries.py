@@ -81,7 +81,7 @@ def pair_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expand_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = P.grid(P.base_examples(table(spark, sf_dir, "clean")))
-    n = F.size(sentences(F.col("llm_continuation")))
+    n = F.size("llm_sentences")
     return cells.select("sample_id", "mode", "ratio", n.alias("n_sentences"), F.when((n == 0) | (F.col("ratio") <= 0), 0).otherwise(P._k(n, F.col("ratio"))).alias("k"))
 
 
