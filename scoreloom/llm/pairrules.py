@@ -45,8 +45,9 @@ ABBREVIATIONS = frozenset(
 
 _QUOTES = str.maketrans({"’": "'", "‘": "'", "ʼ": "'", "“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "‟": '"', "〝": '"', "〞": '"', " ": " "})
 _TERMINAL = ".!?…。！？‽"
-_CLOSERS = re.compile(r"[\s\"'»”’“)\]}›*_`~​﻿]+$")
-_END_MARKS = re.compile(r"[\s\"'»”’“)\]}›*_`~​﻿.!?…。！？‽]+$")
+_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+#: What may follow the end of a sentence.
+_CLOSERS = _SPACE + "\"'»”’“)]}›*_`~\u200b\ufeff"
 
 # Words of refusals.
 _DEED = r"(?:help|assist|continue|carry on|go on|complet\w*|finish|writ\w+|answer\w*|respond\w*|repl\w+|provid\w+|produc\w+|generat\w+|creat\w+|compl[yi]\w*|fulfil\w*|discuss\w*|engage|proceed|do (?:that|this|so|it)|offer|draft|compose|extend)"
@@ -83,11 +84,12 @@ _REFUSALS = [
     r"\bязыков\w+ модел\w+\b|\b(?:я )?не (?:могу|буду|стану|имею права|в состоянии)\b[^.!?]{0,20}\b(?:продолж\w+|помо\w+|написать|писать|ответить|отвечать|закончить|завершить|создать)\b|\bмне не (?:разрешено|позволено|дозволено)\b|\bвынужден\w* отказ\w+",
 ]
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in _REFUSALS), re.I)
-#: Texts without any of these cannot match the patterns above; a cheap first look.
-_HINT = re.compile(
-    r"\b(?:not|can't|cant|won't|unable|declin\w*|refus\w*|request|language model|assistant|ai|chatbot|against (?:my|our|the)|nothing|no (?:text|continuation|answer|response|output|completion)|outside (?:of )?what|beyond what|subject i|inappropriate|"
-    r"sprachmodell|anfrage|nicht|ablehnen|pas|refuser|décliner|modèle|puedo|posible|modelo|negarme|rechazar|declinar|prefiero|cannot|не|отказ\w*|модел\w*)\b",
-    re.I,
+#: Texts without any of these words cannot match the patterns above; a cheap first look ("t" is what n't leaves).
+_HINTS = frozenset(
+    "not t cannot cant unable decline declines declined refuse refuses refused rather request language assistant ai chatbot chat artificial against violate violates violating "
+    "nothing subject inappropriate chosen chooses decided instructed programmed sorry apologies guidelines permitted "
+    "text continuation answer response output completion reply content "
+    "sprachmodell ki anfrage nicht ablehnen leid lieber pas refuser décliner modèle puedo posible debo modelo negarme rechazar declinar prefiero voy quiero не отказ вынужден вынуждена модель разрешено".split()
 )
 
 
@@ -110,9 +112,24 @@ def own_voice(text: str, prompt: str | None) -> str:
 
 def is_refusal(text: str, prompt: str | None) -> bool:
     """The writer declines to go on; people in the text who decline do not count."""
-    if not _HINT.search(text.translate(_QUOTES)):
+    if not _hinted(text):
         return False
-    return bool(_REFUSAL.search(" ".join(own_voice(text, prompt).split())))
+    pieces = _SENTENCE.split(" ".join(own_voice(text, prompt).split()))
+    for i, piece in enumerate(pieces):
+        if _hinted(piece):
+            # With the sentence before it; a letter stands for what is left out, so that only the text's own ends are ends.
+            whole = " ".join(pieces[max(0, i - 1) : i + 1])
+            if _REFUSAL.search(("x\x00 " if i > 1 else "") + whole + (" \x00x" if i + 1 < len(pieces) else "")):
+                return True
+    return False
+
+
+_SENTENCE = re.compile(r"(?<=[.!?]) ")
+
+
+def _hinted(text: str) -> bool:
+    words = set(WORD.findall(text.lower()))
+    return not _HINTS.isdisjoint(words) or ("i" in words and ("outside" in words or "beyond" in words))
 
 
 def is_copy(text: str, prompt: str | None) -> bool:
@@ -134,9 +151,9 @@ def is_copy(text: str, prompt: str | None) -> bool:
 
 def stops_openly(text: str) -> bool:
     """Ends without a mark that ends a sentence, or after an abbreviation."""
-    bare = _CLOSERS.sub("", text)
+    bare = text.rstrip(_CLOSERS)
     while bare and unicodedata.category(bare[-1]) in ("So", "Sk", "Cf", "Cc", "Mn"):
-        bare = _CLOSERS.sub("", bare[:-1])
+        bare = bare[:-1].rstrip(_CLOSERS)
     if not bare or bare[-1] not in _TERMINAL:
         return True
     last = bare.rsplit(None, 1)[-1].lower()
@@ -145,7 +162,7 @@ def stops_openly(text: str) -> bool:
 
 def without_end(text: str) -> str:
     """The text without its last marks: what a shortened version has in common with the whole one."""
-    return _END_MARKS.sub("", text)
+    return text.rstrip(_CLOSERS + _TERMINAL)
 
 
 def goes_on(after: str) -> bool:

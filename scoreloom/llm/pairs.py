@@ -77,7 +77,10 @@ def _judge(rates: dict[str, float]) -> Callable[[pa.RecordBatch], Iterator[pa.Re
             own, asked = texts[a:b], prompts[a:b]
             h, at = hash_words(own)
             words = np.diff(at)
-            votes, asked_votes = R.language_votes(h, at), R.language_votes(*hash_words(asked))
+            asked_h, asked_at = hash_words(asked)
+            asked_words = np.diff(asked_at)
+            votes, asked_votes = R.language_votes(h, at), R.language_votes(asked_h, asked_at)
+            short = (words >= 0.5 * asked_words) & (3 * words <= 4 * asked_words + 6)
             last = _last_words([t or "" for t in own])
             weak = [i for i, w in enumerate(last) if rates.get(w, 1.0) < SELDOM_ENDS]
             loops = set()
@@ -95,7 +98,7 @@ def _judge(rates: dict[str, float]) -> Callable[[pa.RecordBatch], Iterator[pa.Re
                     kind = "empty"
                 elif R.is_refusal(t, p):
                     kind = "refusal"
-                elif R.is_copy(t, p):
+                elif short[i] and R.is_copy(t, p):
                     kind = "copied_prompt"
                 elif p and _other_language(t, votes[i], p, asked_votes[i]):
                     kind = "other_language"
