@@ -135,7 +135,7 @@ def contaminate_tail(grid_rows: DataFrame, costs: DataFrame) -> DataFrame:
     ``costs`` has (sample_id, costs), one cost for each human sentence; of
     equal costs the later sentence comes first.
     """
-    own = grid_rows.join(costs, "sample_id")
+    own = grid_rows.join(costs, "sample_id", "left")
     n, m = F.size("llm_sentences"), F.size("human_sentences")
     off = (n == 0) | (m == 0) | (F.col("ratio") <= 0)
     own = own.withColumn("k", F.when(off, 0).otherwise(F.least(m, _k(n, F.col("ratio")))))

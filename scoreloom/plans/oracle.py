@@ -216,7 +216,7 @@ def oracle_sql() -> dict[str, str]:
         f"hw AS (SELECT sample_id, idx, unnest({words('s')}) AS word FROM (SELECT sample_id, unnest(hs) AS s, unnest(range(len(hs))) AS idx FROM (SELECT sample_id, {sentences('human_continuation')} AS hs FROM ex))), "
         "hc AS (SELECT sample_id, idx, round(CAST(sum(CAST(cost AS DECIMAL(20,9))) AS DOUBLE) / count(*), 9) AS cost FROM hw JOIN wc USING (word) GROUP BY sample_id, idx), "
         "rk AS (SELECT sample_id, list(idx ORDER BY cost DESC, idx DESC) AS ranked FROM hc GROUP BY sample_id), "
-        f"gk AS (SELECT *, CASE WHEN {OFF} THEN 0 ELSE least(len(hs), {K}) END AS k FROM g JOIN rk USING (sample_id)), "
+        f"gk AS (SELECT *, CASE WHEN {OFF} THEN 0 ELSE least(len(hs), {K}) END AS k FROM g LEFT JOIN rk USING (sample_id)), "
         "ga AS (SELECT *, ranked[1:k] AS top, list_transform(range(0, k), lambda j: least(len(ls) - 1, CAST(floor((j + CAST(0.5 AS DOUBLE)) * len(ls) / k) AS BIGINT))) AS spot FROM gk) "
         f"SELECT sample_id, ratio, k, len(ls) AS n_sentences, CASE WHEN k = 0 THEN llm_continuation ELSE array_to_string({tail_mixed}, ' ') END AS text FROM ga",
         "ngram_scores": _ngram(),
