@@ -103,11 +103,46 @@ def is_empty(text: str | None) -> bool:
     return not words or (len(words) <= 4 and " ".join(words) in NO_OUTPUT)
 
 
+_STOP = re.compile(r"[.!?…]\s+")
+_MARK = re.compile(r"[\"“”„‟«»]")
+
+
 def own_voice(text: str, prompt: str | None) -> str:
-    """The text without what stands in quotation marks; a quotation that the prompt leaves open and the text closes is one too."""
-    parts = text.translate(_QUOTES).split('"')
-    inside = bool(prompt) and len(parts) % 2 == 0 and prompt.translate(_QUOTES).count('"') % 2 == 1
-    return " ".join(p for i, p in enumerate(parts) if (i % 2 == 1) == inside)
+    """The text without what stands in quotation marks.
+
+    A straight mark opens behind white space before a letter or another mark,
+    and closes elsewhere; a closing mark ends all quotations.  One without an
+    opening mark ends a quotation that the prompt began if it is the text's
+    first mark, else one that began with its sentence; an opening mark that
+    nothing closes quotes its sentence.
+    """
+    spans, begin, seen = [], None, False
+    for m in _MARK.finditer(text):
+        i, c = m.start(), m.group()
+        before, after = text[i - 1 : i], text[i + 1 : i + 2]
+        opens = c in "„«“‟" or (c == '"' and (not before or before.isspace() or before in "([\"—–-") and (after.isalnum() or after in "\"¿¡'…"))
+        if c == "“" and begin is not None and text[begin] == "„":
+            opens = False
+        if opens:
+            begin = i if begin is None else begin
+        elif begin is not None:
+            spans.append((begin, i + 1))
+            begin = None
+        else:
+            last = spans[-1][1] if spans else 0
+            starts = [m.end() for m in _STOP.finditer(text, last, i)] if seen else []
+            spans.append((starts[-1] if starts else last, i + 1))
+        seen = True
+    if begin is not None:
+        stop = _STOP.search(text, begin)
+        spans.append((begin, stop.start() + 1 if stop else len(text)))
+    if not spans:
+        return text.translate(_QUOTES)
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at:a])
+        at = b
+    return " ".join([*out, text[at:]]).translate(_QUOTES)
 
 
 def is_refusal(text: str, prompt: str | None) -> bool:
@@ -156,8 +191,12 @@ def stops_openly(text: str) -> bool:
         bare = bare[:-1].rstrip(_CLOSERS)
     if not bare or bare[-1] not in _TERMINAL:
         return True
-    last = bare.rsplit(None, 1)[-1].lower()
-    return last.endswith(".") and last.lstrip("([\"'«“„").rstrip(".") in ABBREVIATIONS and not last.endswith("..")
+    words = bare.rsplit(None, 2)[-2:]
+    last = words[-1].lower()
+    if not last.endswith(".") or last.endswith("..") or last.lstrip("([\"'«“„").rstrip(".") not in ABBREVIATIONS:
+        return False
+    # "No." is an answer where a sentence begins.
+    return not (last.lstrip("([\"'«“„") == "no." and len(words) == 2 and words[0].rstrip(_CLOSERS)[-1:] in _TERMINAL and words[0].rstrip(_CLOSERS))
 
 
 def without_end(text: str) -> str:

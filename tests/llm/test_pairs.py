@@ -77,3 +77,11 @@ def test_length_limits(spark):
     rows = [("g", 100)] * 90 + [("g", n) for n in range(80, 120)] + [("h", n) for n in range(50)]
     got = pairs.length_limits(spark.createDataFrame(rows, "generator_model string, n_words bigint")).collect()
     assert [tuple(r) for r in got] == [("g", 100)]
+
+
+def test_quotations_in_disorder():
+    """Marks that lost their partner, and marks within marks."""
+    for text in ('orchards. I will not write that," she told the bank.', '"We left. "I will not write that," she said.', "«We left», he said, „ich kann nicht helfen“, and left."):
+        assert not R.is_refusal(text, "It was")
+    for text in ('Writing more on ""We want to praise a" is against the rules I follow.', 'You ask me to go on after ""We want to review". I will not.', 'Writing more on "Fenu added: "Nobody below" is against the rules I follow.'):
+        assert R.is_refusal(text, 'He said: "We')
