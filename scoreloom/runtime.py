@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -63,8 +65,22 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _clear() -> None:
+    """Removes this process's intermediate tables when it ends; what can't be reached any more stays."""
+    for spark, root in _roots:
+        if root.startswith(("file:", "/")):
+            shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        else:
+            with contextlib.suppress(Exception):
+                _delete(spark, root)
+
+
+_roots: list[tuple[SparkSession, str]] = []
+atexit.register(_clear)
+
+
 class Scratch:
-    """Intermediate tables of one query in the shared folder.
+    """Intermediate tables of one query in the shared folder, kept until the process ends.
 
     ``save`` writes a frame as Parquet and gives back a reader of it: lineage
     is cut, a lost executor costs no recomputation before that point, and
@@ -76,6 +92,7 @@ class Scratch:
         self.spark = spark
         self.root = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
         self.count = 0
+        _roots.append((spark, self.root))
 
     def path(self) -> str:
         self.count += 1
