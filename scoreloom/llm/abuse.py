@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.arrowmap import arrow_map, string_list
 from scoreloom.llm.folding import fold
-from scoreloom.llm.stringkernel import DIMENSIONS, Landmarks, features, fit_svm, scores, whiten
+from scoreloom.llm.stringkernel import CHUNK, DIMENSIONS, Landmarks, features, fit_svm, scores, whiten
 from scoreloom.llm.wordhash import slices
 
 #: Bounds of the training sample: reviewed documents of either verdict, sentences of one of them, and sentences of either kind in one fit.
@@ -39,7 +39,13 @@ class Model:
     threshold: float = 0.0
 
     def margins(self, s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return scores(s, offsets, self.vector) + self.bias
+        return sliced_scores(s, offsets, self.vector) + self.bias
+
+
+def sliced_scores(s: np.ndarray, offsets: np.ndarray, vector: np.ndarray, step: int = 4000) -> np.ndarray:
+    """``scores`` for some thousand sentences at a time."""
+    parts = [scores(s[offsets[a] : offsets[min(a + step, len(offsets) - 1)]], offsets[a : a + step + 1] - offsets[a], vector) for a in range(0, len(offsets) - 1, step)]
+    return np.concatenate(parts) if parts else np.empty(0)
 
 
 def pick(s: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +60,10 @@ def _odds(s: np.ndarray, offsets: np.ndarray, positive: np.ndarray) -> np.ndarra
     """Log odds of each slot between two kinds of sentences."""
     counts = []
     for kind in (True, False):
-        _, slot, _ = features(*pick(s, offsets, np.flatnonzero(positive == kind)))
-        n = np.bincount(slot, minlength=DIMENSIONS)
+        n = np.zeros(DIMENSIONS, dtype=np.int64)
+        own = np.flatnonzero(positive == kind)
+        for a in range(0, len(own), CHUNK):
+            n += np.bincount(features(*pick(s, offsets, own[a : a + CHUNK]))[1], minlength=DIMENSIONS)
         counts.append(np.log((n + 0.5) / (n.sum() + 0.5 * DIMENSIONS)))
     return (counts[0] - counts[1]).astype(np.float32)
 
@@ -112,7 +120,7 @@ def fit(s: np.ndarray, offsets: np.ndarray, doc: np.ndarray, verdict: np.ndarray
     def by_odds(a: np.ndarray, b: np.ndarray) -> Callable:
         some = np.sort(np.concatenate([_draw(rng, a, FIT_SENTENCES), _draw(rng, b, FIT_SENTENCES)]))
         odds = _odds(*pick(s, offsets, some), verdict[some])
-        return lambda s, at: scores(s, at, odds)
+        return lambda s, at: sliced_scores(s, at, odds)
 
     margin = crossed(by_odds)
     for size in LANDMARKS[:-1]:

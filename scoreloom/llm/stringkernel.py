@@ -19,6 +19,8 @@ import numpy as np
 
 DIMENSIONS = 1 << 18
 GAP = 0.6
+#: Sentences whose features are held at a time while a machine is fitted.
+CHUNK = 1000
 #: The subsequences, as places of their symbols.
 SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 3, 4), (0, 1, 2, 3, 4, 5))
 PAD = SHAPES[-1][-1]
@@ -107,14 +109,20 @@ class Landmarks:
         self.at = np.searchsorted(self.slot, np.arange(DIMENSIONS + 1))
 
     def kernel(self, s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Kernel of each sentence with each landmark."""
+        """Kernel of each sentence with each landmark, CHUNK sentences at a time."""
         out = np.zeros((len(offsets) - 1, self.n), dtype=np.float64)
+        for a in range(0, len(out), CHUNK):
+            b = min(a + CHUNK, len(out))
+            self._fill(out[a:b], s[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        return out
+
+    def _fill(self, out: np.ndarray, s: np.ndarray, offsets: np.ndarray) -> None:
         row, slot, value = features(s, offsets)
         many = self.at[slot + 1] - self.at[slot]
         done = np.concatenate([[0], np.cumsum(many)])
         begin = 0
         while begin < len(row):
-            end = max(begin + 1, int(np.searchsorted(done, done[begin] + 4_000_000, side="right")) - 1)
+            end = max(begin + 1, int(np.searchsorted(done, done[begin] + 1_000_000, side="right")) - 1)
             m = many[begin:end]
             which = np.repeat(self.at[slot[begin:end]] - (done[begin:end] - done[begin]), m) + np.arange(int(m.sum()))
             cell = np.repeat(row[begin:end], m) * self.n + self.row[which]
@@ -122,7 +130,6 @@ class Landmarks:
             part = np.bincount(cell - base, weights=np.repeat(value[begin:end], m) * self.value[which])
             out.reshape(-1)[base : base + len(part)] += part
             begin = end
-        return out
 
     def compiled(self, beta: np.ndarray) -> np.ndarray:
         """The vector whose product with a sentence is the beta-weighted sum of its kernels with the landmarks."""
