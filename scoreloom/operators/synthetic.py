@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import copy
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.arrays import EPS
-from scoreloom.operators.metrics import auroc, tpr_at_fpr
 from scoreloom.operators.scores import MATRIX_METHODS
-from scoreloom.runtime import Scratch
 
 ARRAYS = ("logp_a", "logp_b", "logrank_a", "xent_ab", "entropy_a")
 # Base, tail index and scale of each feature, by source.
@@ -26,6 +26,9 @@ N_TOKENS, MIN_TOKENS, MAX_TOKENS = 80, 25, 80
 #: Candidates of the synthetic grid: quantiles of pooled tokens, none first.
 LOW = (0.001, 0.005, 0.01, 0.025, 0.05, 0.10, 0.15)
 HIGH = (0.85, 0.90, 0.95, 0.975, 0.99, 0.995, 0.999)
+#: Axes of the curves: shares of human tokens, and false-positive rates.
+SHARES = (0.0, 0.02, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50)
+FPRS = (1.0, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01, 0.005, 0.003, 0.001)
 #: Weights of the objective: TPR at 5 %, AUROC contaminated, AUROC clean.
 WEIGHTS = (0.60, 0.25, 0.15)
 
@@ -51,10 +54,19 @@ def sample_tokens(spark: SparkSession, source: str, trials: int, n_docs: int, n_
     shared by their tokens.  Arrays keep all tokens; ``length`` tells how many
     are active.
     """
+    return _drawn(_trial_docs(spark, trials, n_docs), source, F.lit(seed), n_tokens, lengths)
+
+
+def _trial_docs(spark: SparkSession, trials: int, n_docs: int) -> DataFrame:
+    return spark.range(trials * n_docs).select((F.col("id") % trials).alias("trial"), F.floor(F.col("id") / trials).alias("doc"))
+
+
+def _drawn(base: DataFrame, source: str, seed: Column, n_tokens: int = N_TOKENS, lengths: tuple[int, int] | None = (MIN_TOKENS, MAX_TOKENS)) -> DataFrame:
+    """(*base, length, five arrays): a document for each row, drawn from its trial and doc."""
     if source not in TAILS:
         raise ValueError(f"unknown source: {source}")
-    base = spark.range(trials * n_docs).select((F.col("id") % trials).alias("trial"), F.floor(F.col("id") / trials).alias("doc"))
-    who = (F.lit(seed), F.lit(source), F.col("trial"), F.col("doc"))
+    who = (seed, F.lit(source), F.col("trial"), F.col("doc"))
+    kept = base.columns
     base = base.withColumns({"_s": 0.35 * normal(*who, "style"), "_r": 0.35 * normal(*who, "rank"), "_x": 0.25 * normal(*who, "xent"), "_b": 0.20 * normal(*who, "b")})
 
     def draw(name: str, i: Column) -> Column:
@@ -70,7 +82,7 @@ def sample_tokens(spark: SparkSession, source: str, trials: int, n_docs: int, n_
     else:
         length = F.lit(n_tokens)
     return base.select(
-        "trial", "doc", length.alias("length"),
+        *kept, length.alias("length"),
         over(lambda i: F.least(-(draw("nll_a", i) + F.col("_s")), F.lit(-EPS))).alias("logp_a"),
         over(lambda i: F.least(-(draw("nll_b", i) + 0.65 * F.col("_s") + F.col("_b")), F.lit(-EPS))).alias("logp_b"),
         over(lambda i: F.greatest(draw("logrank_a", i) + F.col("_r"), F.lit(EPS))).alias("logrank_a"),
@@ -94,17 +106,31 @@ def contaminate(llm: DataFrame, human: DataFrame, share: Column, mode: str, seed
     """
     if mode not in ("random", "tail"):
         raise ValueError(f"unknown contamination mode: {mode}")
-    pair = llm.join(human.select("trial", "doc", *(F.col(a).alias(f"_{a}") for a in ARRAYS)), ["trial", "doc"]).withColumn("_share", share)
+    pair = llm.join(human.select("trial", "doc", *(F.col(a).alias(f"_{a}") for a in ARRAYS)), ["trial", "doc"])
+    return _contaminated(pair, share, mode, seed).select(*llm.columns)
+
+
+def _contaminated(pair: DataFrame, share: Column, mode: str, seed: int) -> DataFrame:
+    """``contaminate`` of rows that hold the human arrays, too, with an underscore before their names."""
+    pair = pair.withColumn("_share", share)
     places = F.sequence(F.lit(0), F.col("length") - 1)
     if mode == "random":
         hit = F.transform(places, lambda i: uniform(seed, "mix", F.col("trial"), F.col("doc"), i) < F.col("_share"))
     else:
         k = F.bround(F.col("length") * F.col("_share")).cast("int")
         harm = F.transform(places, lambda i: F.struct((F.get("_logp_a", i) - F.get("_logrank_a", i) - F.greatest(F.get("_logp_b", i) - F.get("_logp_a", i), F.lit(0.0))).alias("h"), i.alias("i")))
-        pair = pair.withColumn("_top", F.transform(F.slice(F.array_sort(harm), F.lit(1), F.greatest(k, F.lit(0))), lambda x: x["i"]))
-        hit = F.transform(places, lambda i: F.array_contains("_top", i))
+        top = F.transform(F.slice(F.array_sort(harm), F.lit(1), F.greatest(k, F.lit(0))), lambda x: x["i"])
+        # Bound as the only element of an array, else the optimizer sorts again for each place.
+        hit = F.get(F.transform(F.array(top), lambda t: F.transform(places, lambda i: F.array_contains(t, i))), F.lit(0))
     pair = pair.withColumn("_hit", hit)
-    return pair.withColumns({a: _mixed(a) for a in ARRAYS}).select(*llm.columns)
+    return pair.withColumns({a: _mixed(a) for a in ARRAYS})
+
+
+def contaminated_batch(spark: SparkSession, share: float, mode: str, trials: int, n_docs: int, seeds: tuple[int, int] = (0, 1)) -> DataFrame:
+    """``contaminate`` of machine and human documents as ``sample_tokens`` draws them, both in one row from the start, so without a join."""
+    both = _drawn(_trial_docs(spark, trials, n_docs), "human", F.lit(seeds[1])).select("trial", "doc", *(F.col(a).alias(f"_{a}") for a in ARRAYS))
+    pair = _drawn(both, "llm", F.lit(seeds[0]))
+    return _contaminated(pair, F.lit(share), mode, 0).select("trial", "doc", "length", *ARRAYS)
 
 
 def _mixed(name: str) -> Column:
@@ -131,6 +157,12 @@ class Docs:
         self.at = np.concatenate([[0], np.cumsum(self.n)[:-1]])
         self.v = {a: np.concatenate([np.asarray(x)[:k] for x, k in zip(rows[a], self.n)]) for a in ARRAYS}
 
+    def mixed(self, other: Docs, hit: np.ndarray) -> Docs:
+        """These documents with the other ones' tokens where ``hit``."""
+        out = copy.copy(self)
+        out.v = {a: np.where(hit, other.v[a], self.v[a]) for a in ARRAYS}
+        return out
+
     def total(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, self.at)
 
@@ -165,71 +197,108 @@ def _worth(h: np.ndarray, clean: np.ndarray, dirty: np.ndarray) -> float:
     return WEIGHTS[0] * tpr + WEIGHTS[1] * _rank_auroc(h, dirty) + WEIGHTS[2] * _rank_auroc(h, clean)
 
 
-def tune_trials(kinds: DataFrame) -> DataFrame:
-    """(trial, method, cand, bounds, objective): the best candidate of each method in each trial.
+def tuned_bounds(human: Docs, llm: Docs, mixed: Docs) -> dict[str, dict[str, float]]:
+    """The best of the 104 candidates for each method, the first of equals."""
+    out = {}
+    for method, specs in _bounds_of({a: np.concatenate([human.v[a], llm.v[a]]) for a in ARRAYS}).items():
+        worth = [_worth(*(d.score(method, s) for d in (human, llm, mixed))) for s in specs]
+        out[method] = {k: float(b) for k, b in specs[int(np.argmax(np.round(worth, 12)))].items() if b is not None}
+    return out
 
-    ``kinds`` holds validation documents with ``kind`` human, llm or mixed.  A
-    trial is a bounded matrix, so each is tuned in one task, all of them at
-    once; the grid has 104 candidates.
+
+def _hits(llm: Docs, other: Docs, mode: str, mix: np.ndarray) -> Callable[[float], np.ndarray]:
+    """From a share to the tokens that ``contaminate`` replaces; ``mix`` are the chances of the random mode."""
+    if mode == "random":
+        return lambda share: mix < share
+    doc = np.repeat(np.arange(len(llm.n)), llm.n)
+    a, b = other.v["logp_a"], other.v["logp_b"]
+    order = np.lexsort((a - other.v["logrank_a"] - np.maximum(b - a, 0.0), doc))
+    place = np.empty(len(doc), dtype=np.int64)
+    place[order] = np.arange(len(doc)) - llm.at[doc]
+    return lambda share: place < np.rint(llm.n * share)[doc]
+
+
+def _trial_documents(spark: SparkSession, trials: int, n_tune: int, n_test: int, seed: int) -> DataFrame:
+    """(trial, doc, test, mix, human, llm, other): a trial in each partition, so that nothing is shuffled."""
+    n = n_tune + n_test
+    docs = spark.range(0, trials * n, 1, trials).select(F.floor(F.col("id") / n).alias("trial"), (F.col("id") % n).alias("_k"))
+    docs = docs.select("trial", F.when(F.col("_k") < n_tune, F.col("_k")).otherwise(F.col("_k") - n_tune).alias("doc"), (F.col("_k") >= n_tune).alias("test"))
+    of = lambda tune, test: F.when(F.col("test"), F.lit(test)).otherwise(F.lit(tune))
+    places = F.sequence(F.lit(0), F.lit(N_TOKENS - 1))
+    docs = docs.withColumn("mix", F.transform(places, lambda i: uniform(of(seed, seed + 1), "mix", F.col("trial"), F.col("doc"), i)))
+    for i, (name, source) in enumerate((("human", "human"), ("llm", "llm"), ("other", "human"))):
+        kept = docs.columns
+        docs = _drawn(docs, source, of(seed + i, seed + 10 + i)).select(*kept, F.struct("length", *ARRAYS).alias(name))
+    return docs
+
+
+def _rates(human: Docs, llm: Docs, mixed: dict[float, Docs], method: str, spec: dict[str, float], fpr: Sequence[float]) -> Iterator[tuple[float, float, float, float]]:
+    """(share, fpr, tpr, auroc) of one method, oriented by the clean scores."""
+    h = human.score(method, spec)
+    d = 1 if llm.score(method, spec).mean() >= h.mean() else -1
+    h = np.round(d * h, 9)
+    limits = np.round(np.quantile(h, [1.0 - f for f in fpr]), 9)
+    for share, docs in mixed.items():
+        m = np.round(d * docs.score(method, spec), 9)
+        area = round(_rank_auroc(h, m), 9)
+        for f, limit in zip(fpr, limits):
+            yield share, f, float((m >= limit).mean()), area
+
+
+_CURVES = "mode string, trial bigint, method string, clipped boolean, share double, fpr double, tpr double, auroc double"
+
+
+def trial_rates(spark: SparkSession, modes: Sequence[str], trials: int, n_tune: int, n_test: int, shares: Sequence[float], fpr: Sequence[float], tuned_at: float, seed: int) -> DataFrame:
+    """(mode, trial, method, clipped, share, fpr, tpr, auroc) of every trial, each tuned and tested on its own documents.
+
+    A trial is a bounded matrix, so each is drawn, tuned and tested in one
+    task; all modes and shares mix the same documents.
     """
+    for mode in modes:
+        if mode not in ("random", "tail"):
+            raise ValueError(f"unknown contamination mode: {mode}")
+    names = [c.split()[0] for c in _CURVES.split(", ")]
+
+    def sets(rows: pa.Table) -> tuple[Docs, Docs, Docs, np.ndarray]:
+        frames = {k: pd.DataFrame({c: rows[k].combine_chunks().field(c).to_pandas() for c in ("length", *ARRAYS)}) for k in ("human", "llm", "other")}
+        n = frames["llm"]["length"]
+        mix = np.concatenate([np.asarray(x)[:k] for x, k in zip(rows["mix"].to_pandas(), n)])
+        return Docs(frames["human"]), Docs(frames["llm"]), Docs(frames["other"].assign(length=n)), mix
+
+    def curves(rows: pa.Table, trial: int) -> Iterator[tuple]:
+        human, llm, other, mix = sets(rows.filter(pc.invert(rows["test"])))
+        human_t, llm_t, other_t, mix_t = sets(rows.filter(rows["test"]))
+        if (len(human.n), len(human_t.n)) != (n_tune, n_test):
+            raise RuntimeError(f"trial {trial} is not whole")
+        for mode in modes:
+            bounds = tuned_bounds(human, llm, llm.mixed(other, _hits(llm, other, mode, mix)(tuned_at)))
+            hits = _hits(llm_t, other_t, mode, mix_t)
+            mixed = {float(s): llm_t.mixed(other_t, hits(s)) for s in shares}
+            for method in MATRIX_METHODS:
+                for clipped, spec in ((False, {}), (True, bounds[method])):
+                    yield from ((mode, trial, method, clipped, *x) for x in _rates(human_t, llm_t, mixed, method, spec, fpr))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = {k: Docs(rows[rows["kind"] == k].sort_values("doc")) for k in ("human", "llm", "mixed")}
-        pooled = {a: np.concatenate([sets["human"].v[a], sets["llm"].v[a]]) for a in ARRAYS}
-        out = []
-        for method, specs in _bounds_of(pooled).items():
-            worth = [_worth(*(sets[k].score(method, s) for k in ("human", "llm", "mixed"))) for s in specs]
-            i = int(np.argmax(np.round(worth, 12)))
-            out.append((int(rows["trial"].iloc[0]), method, i, {k: float(b) for k, b in specs[i].items() if b is not None}, worth[i]))
-        return pd.DataFrame(out, columns=["trial", "method", "cand", "bounds", "objective"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if not sum(map(len, found)):
+            return
+        rows = pa.Table.from_batches(found)
+        for trial in pc.unique(rows["trial"]).to_pylist():
+            own = rows.filter(pc.equal(rows["trial"], trial))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(list(curves(own, trial)), columns=names), preserve_index=False)
 
-    return kinds.groupBy("trial").applyInPandas(run, "trial bigint, method string, cand int, bounds map<string,double>, objective double")
+    return _trial_documents(spark, trials, n_tune, n_test, seed).mapInArrow(run, _CURVES)
 
 
-def scored_trials(docs: DataFrame, tuned: DataFrame) -> DataFrame:
-    """(trial, kind, share, doc, method, clipped, score): every test document raw and under its trial's bounds.
+def curves_by_mode(
+    spark: SparkSession, modes: Sequence[str] = ("random", "tail"), trials: int = 100, n_tune: int = 1000, n_test: int = 2000, shares: Sequence[float] = SHARES, fpr: Sequence[float] = FPRS, tuned_at: float = 0.25, seed: int = 11,
+) -> DataFrame:
+    """(method, clipped, share, fpr, tpr, auroc, mode): means over the trials, each tuned and tested on its own documents."""
+    each = trial_rates(spark, modes, trials, n_tune, n_test, shares, fpr, tuned_at, seed)
+    means = each.groupBy("method", "clipped", "share", "fpr", "mode").agg(F.round(F.avg("tpr"), 6).alias("tpr"), F.round(F.avg("auroc"), 6).alias("auroc"))
+    return means.select("method", "clipped", "share", "fpr", "tpr", "auroc", "mode")
 
-    The few tuned bounds of a trial join its documents; scoring is in Arrow batches.
-    """
-    specs = tuned.groupBy("trial").agg(F.map_from_entries(F.collect_list(F.struct("method", "bounds"))).alias("_specs"))
-    own = docs.join(F.broadcast(specs), "trial")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pandas()
-            if not len(rows):
-                continue
-            for trial, part in rows.groupby("trial"):
-                d = Docs(part)
-                chosen = {m: dict(b) for m, b in dict(part["_specs"].iloc[0]).items()}
-                for method in MATRIX_METHODS:
-                    for clipped, spec in ((False, {}), (True, chosen.get(method, {}))):
-                        yield pa.RecordBatch.from_pandas(
-                            part[["trial", "kind", "share", "doc"]].assign(method=method, clipped=clipped, score=np.round(d.score(method, spec), 10)), preserve_index=False
-                        )
-
-    return own.mapInArrow(run, "trial bigint, kind string, share double, doc bigint, method string, clipped boolean, score double")
-
-
-def trial_curves(spark: SparkSession, mode: str, trials: int = 100, n_tune: int = 1000, n_test: int = 2000, shares: Sequence[float] = (0.0, 0.1, 0.25, 0.5), fpr: Sequence[float] = (0.05, 0.01), tuned_at: float = 0.25, seed: int = 11) -> DataFrame:
-    """(method, clipped, share, fpr, tpr, auroc): means over the trials, each tuned and tested on its own documents."""
-    def sets(n: int, offset: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return tuple(sample_tokens(spark, s, trials, n, seed=seed + offset + i) for i, s in enumerate(("human", "llm", "human")))  # type: ignore[return-value]
-
-    scratch = Scratch(spark, "trials")
-    human, llm, other = (scratch.save(d) for d in sets(n_tune, 0))
-    mixed = contaminate(llm, other, F.lit(tuned_at), mode, seed)
-    tuned = scratch.save(tune_trials(human.withColumn("kind", F.lit("human")).unionByName(llm.withColumn("kind", F.lit("llm"))).unionByName(mixed.withColumn("kind", F.lit("mixed")))))
-    human, llm, other = (scratch.save(d) for d in sets(n_test, 10))
-    every_share = llm.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
-    dirty = contaminate(every_share, other, F.col("share"), mode, seed + 1).withColumn("kind", F.lit("mixed"))
-    docs = dirty.unionByName(human.withColumn("kind", F.lit("human")).withColumn("share", F.lit(0.0))).unionByName(llm.withColumn("kind", F.lit("llm")).withColumn("share", F.lit(0.0)))
-    scores = scratch.save(scored_trials(docs, tuned))
-    means = scores.filter("kind <> 'mixed'").groupBy("trial", "method", "clipped").agg(F.avg(F.when(F.col("kind") == "llm", F.col("score"))).alias("_m"), F.avg(F.when(F.col("kind") == "human", F.col("score"))).alias("_h"))
-    scores = scores.join(means, ["trial", "method", "clipped"]).withColumn("score", F.when(F.col("_m") >= F.col("_h"), F.col("score")).otherwise(-F.col("score")))
-    by = ["trial", "method", "clipped"]
-    rates = tpr_at_fpr(scores.filter("kind = 'human'"), scores.filter("kind = 'mixed'"), by, fpr, ["share"])
-    every = scores.filter("kind = 'human'").drop("share").withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares)))).unionByName(scores.filter("kind = 'mixed'"), allowMissingColumns=True)
-    areas = auroc(every, [*by, "share"], F.col("kind") == "mixed").select(*by, "share", "auroc")
-    both = rates.join(areas, [*by, "share"])
-    return both.groupBy("method", "clipped", "share", "fpr").agg(F.round(F.avg("tpr"), 6).alias("tpr"), F.round(F.avg("auroc"), 6).alias("auroc"))
+def trial_curves(spark: SparkSession, mode: str, trials: int = 100, n_tune: int = 1000, n_test: int = 2000, shares: Sequence[float] = SHARES, fpr: Sequence[float] = FPRS, tuned_at: float = 0.25, seed: int = 11) -> DataFrame:
+    """``curves_by_mode`` of one mode, without the mode."""
+    return curves_by_mode(spark, (mode,), trials, n_tune, n_test, shares, fpr, tuned_at, seed).drop("mode")

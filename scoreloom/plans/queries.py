@@ -230,17 +230,13 @@ def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    llm, human = (Y.sample_tokens(spark, s, 2, 100, seed=i) for i, s in enumerate(("llm", "human")))
-    return Y.active(Y.contaminate(llm, human, F.lit(0.25), "tail")).select("trial", "doc", "length", *Y.ARRAYS)
+    """The test documents of 100 trials, a quarter of their tokens replaced."""
+    return Y.active(Y.contaminated_batch(spark, 0.25, "tail", 100, 2000))
 
 
 def trial_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both modes, 4 trials of 100 documents to tune on and 200 to test; the operator's defaults are 100 of 1,000 and 2,000."""
-    out = None
-    for mode in P.MODES:
-        one = Y.trial_curves(spark, mode, trials=4, n_tune=100, n_test=200).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Both modes with the operator's defaults: 100 trials of 1,000 documents to tune on and 2,000 to test, 13 rates and 10 shares."""
+    return Y.curves_by_mode(spark, P.MODES)
 
 
 def _metrics(fn: Callable[[DataFrame], DataFrame]) -> Query:
