@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import re._parser as _parser
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -84,13 +86,90 @@ _REFUSALS = [
     r"\bязыков\w+ модел\w+\b|\b(?:я )?не (?:могу|буду|стану|имею права|в состоянии)\b[^.!?]{0,20}\b(?:продолж\w+|помо\w+|написать|писать|ответить|отвечать|закончить|завершить|создать)\b|\bмне не (?:разрешено|позволено|дозволено)\b|\bвынужден\w* отказ\w+",
 ]
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in _REFUSALS), re.I)
-#: Texts without any of these words cannot match the patterns above; a cheap first look ("t" is what n't leaves).
-_HINTS = frozenset(
-    "not t cannot cant unable decline declines declined refuse refuses refused rather request language assistant ai chatbot chat artificial against violate violates violating "
-    "nothing subject inappropriate chosen chooses decided instructed programmed sorry apologies guidelines permitted "
-    "text continuation answer response output completion reply content "
-    "sprachmodell ki anfrage nicht ablehnen leid lieber pas refuser décliner modèle puedo posible debo modelo negarme rechazar declinar prefiero voy quiero не отказ вынужден вынуждена модель разрешено".split()
-)
+
+
+def _strings(item: tuple) -> set[str] | None:
+    """All strings that a part of a pattern stands for, nothing for what has no width; None if they are too many to list."""
+    op, value = str(item[0]), item[1]
+    if op == "LITERAL":
+        return {chr(value)}
+    if op in ("AT", "ASSERT", "ASSERT_NOT"):
+        return {""}
+    if op == "IN":
+        return {chr(v) for _, v in value} if all(str(k) == "LITERAL" for k, v in value) else None
+    if op == "SUBPATTERN":
+        return _product(value[3])
+    if op == "BRANCH":
+        parts = [_product(x) for x in value[1]]
+        return None if None in parts else set().union(*parts)
+    if op == "MAX_REPEAT" and value[:2] == (0, 1):
+        one = _product(value[2])
+        return None if one is None else one | {""}
+    return None
+
+
+def _product(items: Iterable[tuple]) -> set[str] | None:
+    out = {""}
+    for item in items:
+        more = _strings(item)
+        if more is None or len(out) * len(more) > 400:
+            return None
+        out = {x + y for x in out for y in more}
+    return out
+
+
+def _needed(items: Sequence[tuple]) -> set[str] | None:
+    """Strings of which every match has at least one: of the choices in a row of parts the one that should be rarest."""
+    choices, run = [], {""}
+    for item in items:
+        more = _strings(item)
+        if more is not None and len(run) * len(more) <= 400:
+            run = {x + y for x in run for y in more}
+            continue
+        choices.append(run)
+        run = more or {""}
+        op, value = str(item[0]), item[1]
+        if more is None and op == "BRANCH":
+            parts = [_needed(list(x)) for x in value[1]]
+            if None not in parts:
+                choices.append(set().union(*parts))
+        elif more is None and (op == "SUBPATTERN" or (op in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0)):
+            choices.append(_needed(list(value[-1])) or {""})
+    choices = [c for c in (*choices, run) if "" not in c]
+    return min(choices, key=lambda c: sum(20.0 ** -len(x) for x in c), default=None)
+
+
+def _hints(patterns: Iterable[str]) -> tuple[str, ...]:
+    """Strings of which every text that a pattern matches has at least one, without those that hold another."""
+    each = set()
+    for p in patterns:
+        own = _needed(list(_parser.parse(p)))
+        if own is None:
+            raise ValueError(f"no string is in all matches of {p}")
+        each |= {_plain(x) for x in own}
+    return tuple(sorted(x for x in each if not any(y in x for y in each if y != x)))
+
+
+def _plain(text: str) -> str:
+    """Letters that match each other without regard to case made the same."""
+    low = text.casefold()
+    return low if low.isascii() else low.replace("i\u0307", "i").replace("ı", "i")
+
+
+def _tree(strings: Sequence[str]) -> str:
+    """A pattern of sorted strings, none of them the beginning of another, that reads common beginnings once."""
+    if len(strings) == 1:
+        return re.escape(strings[0])
+    heads: dict[str, list[str]] = {}
+    for x in strings:
+        heads.setdefault(x[0], []).append(x[1:])
+    parts = [re.escape(c) + _tree(rest) for c, rest in heads.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+#: Taken from the patterns: a sentence without any of these strings can't match; a cheap first look.
+_HINTS = _hints(_REFUSALS)
+_HINT = re.compile(_tree(_HINTS))
 
 
 def is_empty(text: str | None) -> bool:
@@ -147,9 +226,10 @@ def own_voice(text: str, prompt: str | None) -> str:
 
 def is_refusal(text: str, prompt: str | None) -> bool:
     """The writer declines to go on; people in the text who decline do not count."""
-    if not _hinted(text):
+    said = " ".join(own_voice(text, prompt).split())
+    if not _hinted(said):
         return False
-    pieces = _SENTENCE.split(" ".join(own_voice(text, prompt).split()))
+    pieces = _SENTENCE.split(said)
     for i, piece in enumerate(pieces):
         if _hinted(piece):
             # With the sentence before it; a letter stands for what is left out, so that only the text's own ends are ends.
@@ -163,8 +243,7 @@ _SENTENCE = re.compile(r"(?<=[.!?]) ")
 
 
 def _hinted(text: str) -> bool:
-    words = set(WORD.findall(text.lower()))
-    return not _HINTS.isdisjoint(words) or ("i" in words and ("outside" in words or "beyond" in words))
+    return _HINT.search(_plain(text)) is not None
 
 
 def is_copy(text: str, prompt: str | None) -> bool:
