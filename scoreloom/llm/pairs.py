@@ -33,10 +33,16 @@ def _digits_alike(text: str | None) -> str:
 
 
 def _last_words(texts: list[str]) -> list[str]:
+    """The last word of each whole text, however much stands behind it."""
     out = []
     for t in texts:
-        tail = R.WORD.findall(t[-80:])
-        out.append(_digits_alike(tail[-1].lower()) if tail else "")
+        end = len(t)
+        while end and not t[end - 1].isalnum():
+            end -= 1
+        begin = end
+        while begin and t[begin - 1].isalnum():
+            begin -= 1
+        out.append(_digits_alike(t[begin:end].lower()))
     return out
 
 
