@@ -22,7 +22,7 @@ COMMON, LEAST_SEEN = 2e-5, 200
 NEVER_ENDS, SELDOM_ENDS = 0.001, 0.05
 #: A length is a limit if SPIKE times as many of a generator's texts have it as the mean of the SIDE lengths on either side, and at least SPIKE_ROWS.
 SPIKE, SIDE, SPIKE_ROWS = 5.0, 8, 20
-#: Shorter texts are prefixes of others by chance.
+#: Shorter texts are prefixes of others by chance, so only longer texts that answer the same prompt count for them.
 PREFIX_WORDS = 5
 #: Share of repeated words from which the last word tells nothing: a loop ends anywhere.
 LOOP = 0.4
@@ -96,7 +96,7 @@ def _judge(rates: dict[str, float]) -> Callable[[pa.RecordBatch], Iterator[pa.Re
             defect: list[str | None] = []
             rate: list[float | None] = []
             keys: list[str | None] = []
-            seen: set[str] = set()
+            seen: set[tuple[str | None, str]] = set()
             for i, (t, p) in enumerate(zip(own, asked)):
                 kind = key = None
                 r = None if i in loops else rates.get(last[i])
@@ -115,14 +115,15 @@ def _judge(rates: dict[str, float]) -> Callable[[pa.RecordBatch], Iterator[pa.Re
                 defect.append(kind)
                 rate.append(r)
                 keys.append(key)
-            fresh = [k if k and not (k in seen or seen.add(k)) else None for k in keys]
-            codes = [_code(k) if k and w >= PREFIX_WORDS else None for k, w in zip(keys, words)]
+            fresh = [k if k and not ((p, k) in seen or seen.add((p, k))) else None for p, k in zip(asked, keys)]
+            whose = [_code(p) if p and k else None for p, k in zip(asked, keys)]
+            codes = [None if not k else _code(k) if w >= PREFIX_WORDS else _code(_answer(q, k)) if q is not None else None for k, w, q in zip(keys, words, whose)]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(a, b - a), models.slice(a, b - a), pa.array(words, pa.int64()), pa.array(defect, pa.string()), pa.array(rate, pa.float64()),
-                    pa.array(codes, pa.int64()), pa.array(fresh, pa.string()),
+                    pa.array(codes, pa.int64()), pa.array(whose, pa.int64()), pa.array(fresh, pa.string()),
                 ],
-                names=["row_id", "generator_model", "n_words", "defect", "end_rate", "code", "key"],
+                names=["row_id", "generator_model", "n_words", "defect", "end_rate", "code", "asked", "key"],
             )
 
     return run
@@ -134,6 +135,11 @@ def _code(key: str) -> int:
     return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _answer(asked: int, key: str) -> str:
+    """A key that only answers to the same prompt have as their beginning."""
+    return f"{asked} {key}"
+
+
 def _other_language(text: str, votes: np.ndarray, prompt: str, asked: np.ndarray) -> bool:
     """Most of the text is in another language than the prompt."""
     here, n = R.language(votes, R.script_of(text))
@@ -212,7 +218,8 @@ def judge(rows: DataFrame) -> DataFrame:
     row_ids get the same result; an empty table gives no rows.  A text is
     truncated if it ends without an end mark or after an abbreviation, if its
     last word ends no sentences elsewhere, if a longer text carries it on
-    inside the sentence, or if it stops at a generator's length limit with a
+    inside the sentence (for texts of fewer than PREFIX_WORDS words one that
+    answers the same prompt), or if it stops at a generator's length limit with a
     word that seldom ends sentences.
     """
     scratch = Scratch(rows.sparkSession, "pairs")
@@ -222,11 +229,15 @@ def judge(rows: DataFrame) -> DataFrame:
     frequent = counted.filter((F.col("n") >= LEAST_SEEN) & (F.col("n") >= COMMON * total) & (F.col("ends") < SELDOM_ENDS * F.col("n")))
     rates = {r.word: r.ends / r.n for r in frequent.collect()}
     judged = scratch.save(
-        arrow_map(small, _judge(rates), "row_id bigint, generator_model string, n_words bigint, defect string, end_rate double, code bigint, key string")
+        arrow_map(small, _judge(rates), "row_id bigint, generator_model string, n_words bigint, defect string, end_rate double, code bigint, asked bigint, key string")
     )
-    short = shortened(judged.filter("key is not null").select("key"), scratch).withColumn("short", F.lit(True))
+    keys = judged.filter("key is not null")
+    # Saved, so that its size is known and a small one makes no shuffle of the keys.
+    few = scratch.save(judged.filter((F.col("n_words") < PREFIX_WORDS) & F.col("code").isNotNull()).select("asked").distinct())
+    answers = keys.join(few, "asked", "left_semi").select(F.concat_ws(" ", F.col("asked").cast("string"), "key").alias("key"))
+    short = shortened(keys.select("key").unionByName(answers), scratch).withColumn("short", F.lit(True))
     limits = length_limits(judged).withColumn("limit", F.lit(True))
-    joined = judged.drop("key").join(short, "code", "left").join(
+    joined = judged.drop("key", "asked").join(short, "code", "left").join(
         limits, judged.generator_model.eqNullSafe(limits.generator_model) & (judged.n_words == limits.n_words), "left"
     )
     cut = F.col("short") | (F.col("limit") & (F.col("end_rate") < SELDOM_ENDS))
