@@ -190,7 +190,7 @@ def train(docs: DataFrame, reviews: DataFrame, terms: DataFrame, seed: int = 0)
         verdict.append(np.full(n - 1, abusive, dtype=bool))
     if not rows:
         return Model(np.zeros(DIMENSIONS, dtype=np.float32), -1.0)
-    words = [r.term for r in terms.filter("term is not null").select("term").distinct().orderBy("term").limit(500).collect()]
+    words = [r.term for r in terms.filter("term is not null").select("term").distinct().orderBy("term").collect()]
     return fit(np.concatenate(symbols), np.concatenate(ends), np.concatenate(doc), np.concatenate(verdict), words, seed)
 
 
