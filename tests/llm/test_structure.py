@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,9 +111,10 @@ def _edited(rng, words, share):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 3])
-def test_near_copies(spark, hot):
-    """With ``hot`` 3 nearly every list goes by anchors and blocks; the result is the same."""
+@pytest.mark.parametrize("cells, hot, block", [(nearcopies.CELLS, 256, nearcopies.BLOCK), (64, 1, 4), (512, 3, 7)])
+def test_near_copies(spark, monkeypatch, cells, hot, block):
+    """Whether lists go by one member, by two and in blocks, and whether the sketch holds more or fewer cells than members: the result is the same."""
+    monkeypatch.setattr(nearcopies, "NOISE", 0)
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(120)]
     rows = []
@@ -121,12 +123,43 @@ def test_near_copies(spark, hot):
         for c in range(rng.randrange(1, 7)):
             rows.append((len(rows), ["a", "A ", "b"][base % 3], "e", 0, " ".join(_edited(rng, words, rng.choice([0, 0.02, 0.05, 0.1, 0.14]))), 0.0, "g"))
     rows += [(900 + i, None, "e", 0, rows[0][4], 0.0, "g") for i in range(2)] + [(910, "a", "e", 0, None, 0.0, "g"), (911, "a", "e", 0, "", 0.0, "g"), (912, "a", "e", 0, "x " * 100, 0.0, "g")]
-    found = nearcopies.NearCopies(_clean(spark, rows), F.lower(F.trim("dataset")), words=3, similarity=0.5, least=40, hot=hot).groups().collect()
+    found = nearcopies.NearCopies(_clean(spark, rows), F.lower(F.trim("dataset")), words=3, similarity=0.5, least=40, hot=hot, cells=cells, block=block).groups().collect()
     groups = {r.id: r.group for r in found}
     got = {(a, b) for a, b in itertools.combinations(sorted(groups), 2) if groups[a] == groups[b]}
     assert got == _near([(r[0], None if r[1] is None else r[1].strip().lower(), *r[2:]) for r in rows], 0.5, 40, 3)
 
 
+def test_small_sets(spark):
+    """Sets so small that one member decides."""
+    rng = random.Random(5)
+    rows = [(i, "d", "e", 0, " ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6))), 0.0, "g") for i in range(120)]
+    for hot in (256, 1):
+        found = nearcopies.NearCopies(_clean(spark, rows), F.col("dataset"), words=1, similarity=0.5, hot=hot, block=5).groups().collect()
+        groups = {r.id: r.group for r in found}
+        assert {(a, b) for a, b in itertools.combinations(sorted(groups), 2) if groups[a] == groups[b]} == _near(rows, 0.5, 1, 1)
+
+
+def test_frequent_members_stay_apart_in_a_full_sketch():
+    """With 100 members to a cell, a member met 5,000 times is graded above those met once, and nearly all of these alike."""
+    once = nearcopies.mix(np.arange(400_000, dtype=np.uint64)) & np.uint64((1 << nearcopies.BITS) - 1)
+    often = once[:20]
+    counts = np.zeros(8192, dtype=np.uint64)
+    for half, own in zip(np.split(counts, 2), nearcopies.cells_of(np.concatenate([once, np.repeat(often, 5000)]), 8192)):
+        half += np.bincount(own, minlength=4096).astype(np.uint64)
+    grade, noise = nearcopies.to_grades(counts)
+    hot = int(nearcopies.grade_of(max(nearcopies.HOT, nearcopies.NOISE * noise)))
+    assert (nearcopies.grades(often, grade) > hot).all() and (nearcopies.grades(once[20:], grade) > hot).mean() < 0.01
+    assert nearcopies.grade_of(2.0**40) < 255
+
+
+def test_pairs_of_a_group_in_blocks(spark, monkeypatch):
+    rows = [(i, "d", "e", 0, " ".join(f"w{k}" for k in range(60)), 0.0, "g") for i in range(40)]
+    want = [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    for size in (2000, 7):
+        monkeypatch.setattr(nearcopies, "PAIR_BLOCK", size)
+        assert sorted(tuple(r) for r in nearcopies.near_copy_pairs(_clean(spark, rows)).collect()) == want
+
+
 def test_near_copies_of_one_text(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(80)]
