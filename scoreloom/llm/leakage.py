@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.arrowmap import arrow_map, string_list
-from scoreloom.llm.wordhash import gram_rows, grams, hash_words, slices
+from scoreloom.llm.wordhash import U64, gram_rows, grams, hash_words, mix, slices
+from scoreloom.runtime import Scratch
 
 #: Every shared stretch of STRETCH words is found: fingerprints are the least hash of each WINDOW consecutive K-grams, and K + WINDOW - 1 = STRETCH.
 STRETCH = 6
 K = 4
 WINDOW = STRETCH - K + 1
 MIN_SHARE = 0.4
-#: Words of the items that are sent to the executors at once; more items go block by block.
-BLOCK_WORDS = 1_000_000
+#: Bits of the map of the items' fingerprints that keeps others out of the join: what an executor holds, whatever the number of items.
+MAP_BITS = 1 << 25
+#: A fingerprint of more documents is cut by document; the number grows with the data, so that at most FREQUENT fingerprints are.
+MOST, FREQUENT = 100_000, 50_000
 
 
 def winnow(h: np.ndarray, offsets: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,113 +37,111 @@ def winnow(h: np.ndarray, offsets: np.ndarray, k: int = K, window: int = WINDOW)
     return row[chosen], at[chosen], g[chosen]
 
 
-class Items:
-    """The fingerprints and stretches of a block of test items."""
-
-    def __init__(self, ids: list[int], texts: list[str | None]):
-        h, offsets = hash_words(texts)
-        self.ids = np.array(ids, dtype=np.int64)
-        self.words = np.diff(offsets)
-        self.prints = np.unique(winnow(h, offsets)[2])
-        row, at = gram_rows(offsets, STRETCH)
-        g = grams(h, STRETCH)[at]
-        order = np.argsort(g, kind="stable")
-        self.grams, self.item, self.start = g[order], row[order], (at - offsets[:-1][row])[order]
-
-    def leaks(self, texts: list[str | None], min_share: float) -> list[tuple[int, int, int]]:
-        """(text, item, shared words) where enough of the item's words stand in the text."""
-        h, offsets = hash_words(texts)
-        row, at, g = winnow(h, offsets)
-        if not len(g) or not len(self.prints):
-            return []
-        slot = np.minimum(np.searchsorted(self.prints, g), len(self.prints) - 1)
-        hit = self.prints[slot] == g
-        # A shared stretch of six words lies within two words of one of its fingerprints.
-        near = np.unique((at[hit][:, None] - np.arange(WINDOW)[None, :]).ravel())
-        near = near[near >= 0]
-        if not len(near):
-            return []
-        doc = np.searchsorted(offsets, near, side="right") - 1
-        whole = near + STRETCH <= offsets[doc + 1]
-        near, doc = near[whole], doc[whole]
-        six = grams(h, STRETCH)[near]
-        lo, hi = np.searchsorted(self.grams, six), np.searchsorted(self.grams, six, side="right")
-        many = hi - lo
-        which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        d, i, s = np.repeat(doc, many), self.item[which], self.start[which]
-        out = []
-        if not len(d):
-            return out
-        place = np.unique((d * len(self.ids) + i) * (1 << 32) + s)
-        pair, s = place >> 32, place & 0xFFFFFFFF
-        cuts = np.flatnonzero(np.diff(pair)) + 1
-        for p, starts in zip(pair[np.concatenate([[0], cuts])], np.split(s, cuts)):
-            gap = np.diff(starts, append=starts[-1] + STRETCH)
-            shared = int(np.minimum(gap, STRETCH).sum())
-            item = int(p % len(self.ids))
-            if shared >= min_share * self.words[item] - 1e-9:
-                out.append((int(p // len(self.ids)), item, shared))
-        return out
-
-
-def leaks(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _fingerprints(rows: DataFrame, kept: np.ndarray | None) -> DataFrame:
+    """(key, print) of the texts (key, text): each distinct fingerprint of a text once, or without a map each of its places; only those in the map."""
+    sent = rows.sparkSession.sparkContext.broadcast(kept) if kept is not None else None
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = string_list(batch, "text")
+        for a, b in slices(texts):
+            row, _, g = winnow(*hash_words(texts[a:b]))
+            if sent is not None:
+                bit = (g % U64(MAP_BITS)).astype(np.int64)
+                hit = (sent.value[bit >> 3] >> (bit & 7)) & 1 > 0
+                row, g = row[hit], g[hit]
+                order = np.lexsort((g, row))
+                row, g = row[order], g[order]
+                new = np.ones(len(g), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1])
+                row, g = row[new], g[new]
+            if len(g):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(g.view(np.int64))], names=["key", "print"])
+
+    return arrow_map(rows.select("key", "text"), run, "key bigint, print bigint")
+
+
+def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    texts = string_list(batch, "item_text")
+    for a, b in slices(texts):
+        words = np.diff(hash_words(texts[a:b])[1])
+        yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(words)], names=[*batch.schema.names, "item_words"])
+
+
+def _print_map(prints: DataFrame) -> np.ndarray:
+    """A bit for each fingerprint of the items, modulo MAP_BITS: of fixed size, and more items only set more bits."""
+    place = F.pmod(F.col("print"), F.lit(MAP_BITS))
+    marks = prints.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()
+    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    for r in marks:
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
+
+
+def _hits(docs: DataFrame, items: DataFrame, most: int) -> DataFrame:
+    """(key, item_key, n): how many places of an item have a fingerprint that the document has, too.
+
+    A fingerprint of more than ``most`` documents is cut by document, and the
+    item's side repeated for each cut; ``most`` grows with the data, so at most
+    FREQUENT fingerprints are.
+    """
+    total = docs.count()
+    most = max(most, total // FREQUENT)
+    often = docs.groupBy("print").count().filter(F.col("count") > most)
+    often = docs.sparkSession.createDataFrame([tuple(r) for r in often.collect()], "print bigint, n bigint").select("print", F.ceil(F.col("n") / most).cast("int").alias("cuts"))
+    cuts = F.coalesce("cuts", F.lit(1))
+    left = docs.join(F.broadcast(often), "print", "left").select("key", "print", F.pmod(F.xxhash64("key"), cuts).cast("int").alias("cut"))
+    right = items.join(F.broadcast(often), "print", "left").select(F.col("key").alias("item_key"), "print", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("cut"))
+    return left.join(right, ["print", "cut"]).groupBy("key", "item_key").agg(F.count("*").alias("n"))
+
+
+def _extend(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Words of the item in stretches that the document has, for each candidate."""
+    bodies, asked = string_list(batch, "text"), string_list(batch, "item_text")
+    for a, b in slices(bodies):
+        texts = {t: i for i, t in enumerate(dict.fromkeys(bodies[a:b]))}
+        whose = np.array([texts[t] for t in bodies[a:b]], dtype=np.int64)
+        h, at = hash_words(list(texts))
+        row, place = gram_rows(at, STRETCH)
+        there = np.unique(mix(row.astype(U64)) ^ grams(h, STRETCH)[place])
+        h, at = hash_words(asked[a:b])
+        row, place = gram_rows(at, STRETCH)
+        own = mix(whose[row].astype(U64)) ^ grams(h, STRETCH)[place]
+        start = place[np.isin(own, there)]
+        mark = np.zeros(len(h) + 1, dtype=np.int64)
+        np.add.at(mark, start, 1)
+        np.add.at(mark, start + STRETCH, -1)
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(mark[:-1]) > 0)])
+        shared, words = covered[at[1:]] - covered[at[:-1]], np.diff(at)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array(shared), pa.array(words)], names=["doc_id", "item_id", "shared_words", "item_words"])
+
+
+_FOUND = "doc_id bigint, item_id bigint, shared_words bigint, item_words bigint"
+
+
+def leaks(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE, most: int = MOST) -> DataFrame:
     """(doc_id, item_id, shared_words, item_words) of each document that holds enough of an item.
 
     At least ``min_share`` of the item's words stand in the document in
-    stretches of six or more words.  Documents are read once per block of
-    items and never shuffled.  Items travel in blocks of ``block_words`` words
-    (the operator counts them first), so what an executor holds is bounded
-    whatever their number.  Null and wordless texts match nothing; repeated
-    document rows give repeated results; copies are cases of their own.
+    stretches of six or more words.  Fingerprints of both sides are joined, and
+    the pairs with enough of them are extended on whole texts.  Documents are
+    read twice, whatever the number of items: once for fingerprints, of which
+    those in a map of fixed size go on, and once for the texts of candidates.
+    Null and wordless texts match nothing; repeated document rows give repeated
+    results, repeated items one; copies are cases of their own.
     """
-    blocks = _blocks(items, block_words)
-    out = None
-    for ids, texts in blocks:
-        one = _scan(docs, ids, texts, min_share)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else _scan(docs.limit(0), [], [], min_share)
-
-
-def _blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[int], list[str]]]:
-    own = items.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
-    ids: list[int] = []
-    texts: list[str] = []
-    size = 0
-    for r in own.toLocalIterator():
-        n = len(r.text) // 2 + 1
-        if size and size + n > block_words:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(r.item_id)
-        texts.append(r.text)
-        size += n
-    if ids:
-        yield ids, texts
-
-
-def _scan(docs: DataFrame, ids: list[int], texts: list[str], min_share: float) -> DataFrame:
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((ids, texts))
-    cache: dict[str, Items] = {}
-
-    def search(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if "items" not in cache:
-            cache["items"] = Items(*sent.value)
-        block = cache["items"]
-        doc_ids, body = batch.column(0), string_list(batch, "_text")
-        found, docs_at = [], []
-        for a, b in slices(body):
-            for d, i, shared in block.leaks(body[a:b], min_share):
-                docs_at.append(a + d)
-                found.append((int(block.ids[i]), shared, int(block.words[i])))
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [doc_ids.take(pa.array(docs_at, pa.int64())), *(pa.array(c, pa.int64()) for c in zip(*found))],
-                names=["doc_id", "item_id", "shared_words", "item_words"],
-            )
-
-    small = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    return arrow_map(small, search, "doc_id bigint, item_id bigint, shared_words bigint, item_words bigint")
+    scratch = Scratch(docs.sparkSession, "leakage")
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).filter("item_id is not null and item_text is not null").distinct()
+    asked = scratch.save(arrow_map(asked.withColumn("item_key", F.xxhash64("item_id", "item_text")), _counted, "item_id bigint, item_text string, item_key bigint, item_words bigint"))
+    wanted = scratch.save(_fingerprints(asked.select(F.col("item_key").alias("key"), F.col("item_text").alias("text")), None))
+    held = scratch.save(_fingerprints(body, _print_map(wanted)))
+    # A shared stretch of n words has a fingerprint in each window, and one serves WINDOW windows at most.
+    least = min_share / (STRETCH + WINDOW - 1)
+    near = _hits(held, wanted, most).join(asked, "item_key")
+    near = scratch.save(near.filter(F.col("n") >= least * F.col("item_words") - 1e-9).select("key", "item_id", "item_text"))
+    whole = body.join(near, "key").select("doc_id", "item_id", "text", "item_text")
+    found = arrow_map(whole, _extend, _FOUND)
+    return found.filter((F.col("shared_words") > 0) & (F.col("shared_words") >= min_share * F.col("item_words") - 1e-9))
 
 
 def leaked_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -194,6 +194,14 @@ def test_leaks(spark):
                 want.append((d, i))
     docs_df = spark.createDataFrame([(*r, "clash") for r in docs], "doc_id bigint, text string, item_id string")
     items_df = spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (leakage.BLOCK_WORDS, 50):
-        assert sorted(tuple(r) for r in leakage.leaks(docs_df, items_df, block_words=block).select("doc_id", "item_id").collect()) == sorted(want)
+    for most in (leakage.MOST, 3):
+        assert sorted(tuple(r) for r in leakage.leaks(docs_df, items_df, most=most).select("doc_id", "item_id").collect()) == sorted(want)
     assert leakage.leaked_pairs(docs_df, items_df.limit(0)).count() == 0 and leakage.leaked_pairs(docs_df.limit(0), items_df).count() == 0
+
+
+def test_many_items(spark):
+    """Far more items than fit in a plan each: documents are read twice, however many there are."""
+    docs = spark.range(200).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 60), k -> concat('w', id * 61 + k))) as text", "'x' as item_id")
+    items = spark.range(100_000).selectExpr("id as item_id", "if(id < 200, concat_ws(' ', transform(sequence(0, 11), k -> concat('w', id * 61 + 7 + k))), concat_ws(' ', transform(sequence(0, 11), k -> concat('v', id * 12 + k)))) as text")
+    found = leakage.leaks(docs, items)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(200)]
