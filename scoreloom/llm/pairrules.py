@@ -24,18 +24,27 @@ NO_OUTPUT = frozenset(
     aucune réponse|vide|sin respuesta|sin salida|vacío|нет ответа|пусто|нет вывода""".replace("\n", "").replace("    ", "").split("|")
 )
 
-# Frequent function words by language.
+# Function words by language: articles, pronouns, prepositions, conjunctions, auxiliaries and particles.
 FUNCTION_WORDS = {
-    "en": "the and of to in was were is are that which with for from by on at its their they he she his her this these those an has have had been be not but or as who it we you will would said after before about into because when than there nobody another near under over behind between despite towards during",
-    "de": "der die das und ist war waren von mit für auf im den dem des ein eine einen einer eines nicht auch sich wurde wurden werden wird sind hat haben hatte seit bei nach aus über unter vor neben zwischen durch noch wie dass diese dieser dieses jene jener unsere unser ihre alte neue soll gilt sagte danach zu an um als oder aber wenn weil niemand menschen",
-    "fr": "le la les des et est sont une un du de dans sur pour par avec qui que ne pas se ce cette ces leur leurs notre nos aux au elle il ils elles était étaient sera été depuis selon près sous derrière après avant mais ou où plus comme dont personnes nous vous ont dit trouve ancienne restait",
-    "es": "el la los las de y en que un una del se es por con para su sus al lo como más pero fue fueron era está están ha han desde sobre entre hasta cuando muy sin también aquella aquel esta este esa ese nuestra nuestro según detrás cerca bajo personas seguía gran será dijo los",
+    "en": "the and of to in was were is are that which with for from by on at its their they he she his her this these those an has have had been be not but or as who it we you will would after before about into because when than there nobody another near under over behind between despite towards during",
+    "de": "der die das und ist war waren von mit für auf im den dem des ein eine einen einer eines nicht auch sich wurde wurden werden wird sind hat haben hatte seit bei nach aus über unter vor neben zwischen durch noch wie dass diese dieser dieses jene jener unsere unser ihre danach zu an um als oder aber wenn weil niemand",
+    "fr": "le la les des et est sont une un du de dans sur pour par avec qui que ne pas se ce cette ces leur leurs notre nos aux au elle il ils elles était étaient sera été depuis selon près sous derrière après avant mais ou où plus comme dont nous vous ont",
+    "es": "el la los las de y en que un una del se es por con para su sus al lo como más pero fue fueron era está están ha han desde sobre entre hasta cuando muy sin también aquella aquel esta este esa ese nuestra nuestro según detrás cerca bajo los",
     "it": "il lo la gli le di che è un una del della dei delle nel nella con per non sono era erano come più anche ma questo questa dal dalla alla al si suo sua loro dopo prima sotto sopra tra ha hanno stato stata",
     "pt": "o a os as de e que em um uma do da dos das no na nos nas com para por não é são foi foram era mais como mas seu sua seus suas ao à também ele ela eles elas esta este está desde sobre entre até quando muito",
     "nl": "de het een en van in is was waren dat die met voor op aan bij naar uit over onder door niet ook zijn haar hun er maar als dan nog deze dit werd werden wordt heeft hebben had sinds tegen tussen achter voor na geen",
-    "ru": "и в на с что не по как из за от до у о об для это был была были было его её их они она он который которая где при через после перед между под над возле около напротив каждый один этот эта тот свой наш весь жители сказал стоял города считается находится мы потом",
+    "ru": "и в на с что не по как из за от до у о об для это был была были было его её их они она он который которая где при через после перед между под над возле около напротив каждый один этот эта тот свой наш весь мы потом",
 }
 
+# Words that grammar lets end no sentence: articles, possessives, conjunctions, and prepositions that can't stand without what follows.
+ENDLESS = frozenset(
+    """the a an and or nor of my your our their its every into onto upon than whose because although
+    der die das dem den des ein eine einem einen einer und oder weil dass mein dein ihre unser für von vom zum zur im beim ins
+    le la les un une des du et ou mes tes ses leurs nos vos de dans chez parce
+    el los las una unos unas y o su sus de del al en con por para porque
+    и или в на с к у о об от до из за для при без под над между через""".split()
+)
+
 # First letters of scripts other than Latin, as ranges of code points, and a language each stands for.
 SCRIPTS = {"ru": (0x0400, 0x052F), "el": (0x0370, 0x03FF), "ar": (0x0600, 0x06FF), "he": (0x0590, 0x05FF), "hi": (0x0900, 0x097F), "ja": (0x3040, 0x30FF), "ko": (0xAC00, 0xD7AF), "zh": (0x4E00, 0x9FFF), "th": (0x0E00, 0x0E7F)}
 

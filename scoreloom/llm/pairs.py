@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import pairrules as R
 from scoreloom.llm.arrowmap import arrow_map, string_list
-from scoreloom.llm.repetition import repeated_words
+from scoreloom.llm.repetition import repeated
 from scoreloom.llm.wordhash import hash_words, slices
 from scoreloom.runtime import Scratch
 
-#: A last word is judged if it makes up at least this share of all words (so at most 1 / COMMON words are), and stands LEAST_SEEN times.
-COMMON, LEAST_SEEN = 2e-5, 200
-#: A word that ends sentences more rarely than this ends none; at a length limit the looser rate holds.
+#: A word whose end rate is below this ends no sentence; at a length limit the looser rate holds.
 NEVER_ENDS, SELDOM_ENDS = 0.001, 0.05
-#: A length is a limit if SPIKE times as many of a generator's texts have it as the mean of the SIDE lengths on either side, and at least SPIKE_ROWS.
-SPIKE, SIDE, SPIKE_ROWS = 5.0, 8, 20
+#: Ends that are added to those counted, so that a rate is low only on evidence: by the counts alone a word without ends needs 200 occurrences.
+DOUBT = 0.2
+#: Occurrences without an end that grammar vouches for in words that can't end a sentence; counted ends outweigh them.
+VOUCHED = 400
+#: A length is a limit if surely SPIKE times as many of a generator's texts have it as the mean of the SIDE lengths on either side, surely meaning by SURE deviations of both counts.
+SPIKE, SIDE, SURE = 5.0, 8, 3.0
 #: Shorter texts are prefixes of others by chance, so only longer texts that answer the same prompt count for them.
 PREFIX_WORDS = 5
 #: Share of repeated words from which the last word tells nothing: a loop ends anywhere.
@@ -75,8 +77,24 @@ def word_ends(rows: DataFrame) -> DataFrame:
 _ENDING = R.re.compile(r"([^\W_]+)[.!?…]+[\"'»”’)\]]*(?=\s+\S)")
 
 
-def _judge(rates: dict[str, float]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def end_rates(counted: DataFrame) -> DataFrame:
+    """(last, end_rate) of the words that seldom end a sentence, from (word, n, ends) and from grammar.
+
+    Words that grammar vouches for are there whether they were counted or not.
+    """
+    known = counted.sparkSession.createDataFrame([(w,) for w in sorted(R.ENDLESS)], "known string")
+    every = counted.join(F.broadcast(known), F.col("word") == F.col("known"), "full")
+    n = F.coalesce("n", F.lit(0)) + F.when(F.col("known").isNotNull(), F.lit(VOUCHED)).otherwise(F.lit(0))
+    rate = (F.coalesce("ends", F.lit(0)) + F.lit(DOUBT)) / n
+    return every.select(F.coalesce("word", "known").alias("last"), rate.alias("end_rate")).filter(F.col("end_rate") < SELDOM_ENDS)
+
+
+_JUDGED = "row_id bigint, generator_model string, n_words bigint, defect string, last string, code bigint, asked bigint, key string"
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple[int | None, int]] = set()
+    for batch in batches:
         ids, models = batch.column(0), batch.column(3)
         texts, prompts = string_list(batch, "text"), string_list(batch, "prompt")
         for a, b in slices(texts):
@@ -87,19 +105,12 @@ def _judge(rates: dict[str, float]) -> Callable[[pa.RecordBatch], Iterator[pa.Re
             asked_words = np.diff(asked_at)
             votes, asked_votes = R.language_votes(h, at), R.language_votes(asked_h, asked_at)
             short = (words >= 0.5 * asked_words) & (3 * words <= 4 * asked_words + 6)
-            last = _last_words([t or "" for t in own])
-            weak = [i for i, w in enumerate(last) if rates.get(w, 1.0) < SELDOM_ENDS]
-            loops = set()
-            if weak:
-                n, again = repeated_words([own[i] for i in weak])
-                loops = {i for i, x, y in zip(weak, n, again) if y >= LOOP * max(x, 1)}
+            loops = repeated(h, at)[1] >= LOOP * np.maximum(words, 1)
+            last = [None if loop or not w else w for w, loop in zip(_last_words([t or "" for t in own]), loops)]
             defect: list[str | None] = []
-            rate: list[float | None] = []
             keys: list[str | None] = []
-            seen: set[tuple[str | None, str]] = set()
             for i, (t, p) in enumerate(zip(own, asked)):
                 kind = key = None
-                r = None if i in loops else rates.get(last[i])
                 if R.is_empty(t):
                     kind = "empty"
                 elif R.is_refusal(t, p):
@@ -108,26 +119,24 @@ def _judge(rates: dict[str, float]) -> Callable[[pa.RecordBatch], Iterator[pa.Re
                     kind = "copied_prompt"
                 elif p and _other_language(t, votes[i], p, asked_votes[i]):
                     kind = "other_language"
-                elif R.stops_openly(t) or (r is not None and r < NEVER_ENDS):
+                elif R.stops_openly(t):
                     kind = "truncated"
                 if kind != "empty":
                     key = R.without_end(t)
                 defect.append(kind)
-                rate.append(r)
-                keys.append(key)
-            fresh = [k if k and not ((p, k) in seen or seen.add((p, k))) else None for p, k in zip(asked, keys)]
+                keys.append(key or None)
             whose = [_code(p) if p and k else None for p, k in zip(asked, keys)]
             codes = [None if not k else _code(k) if w >= PREFIX_WORDS else _code(_answer(q, k)) if q is not None else None for k, w, q in zip(keys, words, whose)]
+            # A task sends each key once for each prompt.
+            fresh = [k if c is not None and not ((q, c) in seen or seen.add((q, c))) else None for q, c, k in zip(whose, codes, keys)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(a, b - a), models.slice(a, b - a), pa.array(words, pa.int64()), pa.array(defect, pa.string()), pa.array(rate, pa.float64()),
+                    ids.slice(a, b - a), models.slice(a, b - a), pa.array(words, pa.int64()), pa.array(defect, pa.string()), pa.array(last, pa.string()),
                     pa.array(codes, pa.int64()), pa.array(whose, pa.int64()), pa.array(fresh, pa.string()),
                 ],
-                names=["row_id", "generator_model", "n_words", "defect", "end_rate", "code", "asked", "key"],
+                names=[c.split()[0] for c in _JUDGED.split(", ")],
             )
 
-    return run
-
 
 def _code(key: str) -> int:
     import hashlib
@@ -151,66 +160,118 @@ def _other_language(text: str, votes: np.ndarray, prompt: str, asked: np.ndarray
     return n >= 3 and n > 1.2 * same
 
 
-_NEIGHBOURS = "kind int, part int, code bigint, words bigint, key string"
+_NEIGHBOURS = "code bigint, key string"
 
 
-def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of keys in sorted order, the codes of those that the next key carries on inside a sentence.
+class Open:
+    """The keys that may still be carried on, as sorted keys stream by.
 
-    If any key has this one as its prefix, the next different key has.  The
-    first and the last key of the partition go along for the seams.
+    Keys that begin with a key stand right behind it, so those carried on by
+    the present key are on a stack.  A key leaves it when one goes on inside
+    its sentence, or when the keys that begin with it have gone by.
     """
-    from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.before: str | None = None
+
+    def pass_by(self, key: str) -> list[str]:
+        """The keys on the stack that this one carries on inside a sentence."""
+        if key == self.before:
+            return []
+        while self.stack and not key.startswith(self.stack[-1]):
+            self.stack.pop()
+        found = [k for k in self.stack if R.goes_on(key[len(k) :])]
+        if found:
+            self.stack = [k for k in self.stack if k not in found]
+        self.stack.append(key)
+        self.before = key
+        return found
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of keys in sorted order, the codes of those that a later key carries on inside a sentence.
+
+    Keys needed for the seams go along: those still open at the end of the
+    partition, and of those at its beginning enough to tell whether one carries
+    a key of an earlier partition on.  The latter begin with the same letters
+    as the first key; for each length of that common beginning, the first key
+    and the first that goes on behind it tell.
+    """
+    own = Open()
+    first: str | None = None
+    length = 0
+    gone = True
     names = [c.split()[0] for c in _NEIGHBOURS.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-    before = first = None
     for batch in batches:
-        found = []
+        found: list[str] = []
+        seams: list[str] = []
         for key in batch.column(0).to_pylist():
-            if before is None:
-                first = key
-            elif key != before and key.startswith(before) and R.goes_on(key[len(before) :]):
-                found.append(_code(before))
-            before = key
+            if key == own.before:
+                continue
+            found += own.pass_by(key)
+            if first is None:
+                first, length = key, len(key)
+                seams.append(key)
+            elif length:
+                now = min(length, _common(first, key))
+                on = R.goes_on(key[now:])
+                if now and (now < length or (on and not gone)):
+                    seams.append(key)
+                    gone = on
+                length = now
+        if found or seams:
+            codes = [_code(k) for k in found]
+            yield pa.RecordBatch.from_arrays([pa.array(codes + [None] * len(seams), pa.int64()), pa.array([None] * len(codes) + seams, pa.string())], names=names)
+    if own.stack:
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(own.stack), pa.int64()), pa.array(own.stack, pa.string())], names=names)
+
+
+def _compare_seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = Open()
+    for batch in batches:
+        found = [_code(k) for key in batch.column(0).to_pylist() for k in own.pass_by(key)]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(found), t) if not isinstance(x, list) else pa.array(x, t) for x, t in zip((0, part, found, None, None), types)], names=names)
-    if before is not None:
-        rows = [(1, part, _code(first), None, first), (2, part, _code(before), None, before)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["code"])
 
 
 def shortened(keys: DataFrame, scratch: Scratch) -> DataFrame:
     """(code) of the keys that are the beginning of a longer one which goes on inside the sentence.
 
-    Keys are sorted by ranges over the whole table, each task compares
-    neighbours as they stream by, and the seams between partitions are compared
-    afterwards: two keys a partition, so their number is that of the partitions.
+    Keys are sorted by ranges over the whole table and compared as they stream
+    by.  The keys at the seams, a few of each partition, are compared the same
+    way afterwards; one task streams them and holds only keys that are open.
     """
     parts = max(keys.rdd.getNumPartitions(), int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = keys.repartitionByRange(parts, "key").sortWithinPartitions("key")
     near = scratch.save(ordered.mapInArrow(_compare_neighbours, _NEIGHBOURS))
-    seams = near.filter("kind > 0").orderBy("part", "kind").select("kind", "part", "code", "key").collect()
-    crossing = [
-        (x.code,) for x, y in zip(seams, seams[1:]) if x.kind == 2 and y.kind == 1 and y.key != x.key and y.key.startswith(x.key) and R.goes_on(y.key[len(x.key) :])
-    ]
-    inner = near.filter("kind = 0").select("code")
-    if crossing:
-        inner = inner.unionByName(keys.sparkSession.createDataFrame(crossing, "code bigint"))
-    return inner.distinct()
+    seams = near.filter("key is not null").select("key").repartition(1).sortWithinPartitions("key")
+    return near.filter("code is not null").select("code").unionByName(seams.mapInArrow(_compare_seams, "code bigint")).distinct()
 
 
 def length_limits(judged: DataFrame) -> DataFrame:
     """(generator_model, n_words) at which a generator's texts pile up."""
-    each = judged.groupBy("generator_model", "n_words").agg(F.count("*").alias("n"))
+    each = judged.filter("n_words > 0").groupBy("generator_model", "n_words").agg(F.count("*").alias("n"))
     near = W.partitionBy("generator_model").orderBy("n_words").rangeBetween(-SIDE, SIDE)
-    mean = (F.sum("n").over(near) - F.col("n")) / F.lit(2 * SIDE)
-    return each.withColumn("mean", mean).filter((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE * F.col("mean")) & (F.col("n_words") > 0)).select("generator_model", "n_words")
+    beside = F.sum("n").over(near) - F.col("n")
+    most = (beside + F.lit(SURE) * F.sqrt(beside + 1)) / F.lit(2 * SIDE)
+    return each.withColumn("most", most).filter(F.col("n") - F.lit(SURE) * F.sqrt("n") >= SPIKE * F.col("most")).select("generator_model", "n_words")
 
 
 def judge(rows: DataFrame) -> DataFrame:
-    """(row_id, defect) of every row; defect is null for usable pairs.
+    """(row_id, generator_model, defect) of every row; defect is null for usable pairs.
 
     In order of precedence: ``empty``, ``refusal``, ``copied_prompt``,
     ``other_language``, ``truncated``.  A null prompt is no defect and hides
@@ -224,34 +285,31 @@ def judge(rows: DataFrame) -> DataFrame:
     """
     scratch = Scratch(rows.sparkSession, "pairs")
     small = rows.select("row_id", "text", "prompt", "generator_model")
-    counted = scratch.save(word_ends(small))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = counted.filter((F.col("n") >= LEAST_SEEN) & (F.col("n") >= COMMON * total) & (F.col("ends") < SELDOM_ENDS * F.col("n")))
-    rates = {r.word: r.ends / r.n for r in frequent.collect()}
-    judged = scratch.save(
-        arrow_map(small, _judge(rates), "row_id bigint, generator_model string, n_words bigint, defect string, end_rate double, code bigint, asked bigint, key string")
-    )
+    rates = scratch.save(end_rates(word_ends(small)))
+    judged = scratch.save(small.mapInArrow(_judge, _JUDGED))
     keys = judged.filter("key is not null")
     # Saved, so that its size is known and a small one makes no shuffle of the keys.
     few = scratch.save(judged.filter((F.col("n_words") < PREFIX_WORDS) & F.col("code").isNotNull()).select("asked").distinct())
     answers = keys.join(few, "asked", "left_semi").select(F.concat_ws(" ", F.col("asked").cast("string"), "key").alias("key"))
-    short = shortened(keys.select("key").unionByName(answers), scratch).withColumn("short", F.lit(True))
-    limits = length_limits(judged).withColumn("limit", F.lit(True))
-    joined = judged.drop("key", "asked").join(short, "code", "left").join(
-        limits, judged.generator_model.eqNullSafe(limits.generator_model) & (judged.n_words == limits.n_words), "left"
+    short = scratch.save(shortened(keys.select("key").unionByName(answers), scratch)).withColumn("short", F.lit(True))
+    limits = scratch.save(length_limits(judged)).withColumnsRenamed({"generator_model": "_model", "n_words": "_words"}).withColumn("limit", F.lit(True))
+    # Rows without a code or a last word get keys of their own that match nothing, else they would meet in one task.
+    apart = F.xxhash64("row_id", "n_words")
+    open_rows = judged.drop("key", "asked").withColumn("code", F.coalesce("code", apart)).withColumn("last", F.coalesce("last", F.concat(F.lit(" "), apart.cast("string"))))
+    joined = open_rows.join(short, "code", "left").join(rates, "last", "left").join(
+        limits, F.col("generator_model").eqNullSafe(F.col("_model")) & (F.col("n_words") == F.col("_words")), "left"
     )
-    cut = F.col("short") | (F.col("limit") & (F.col("end_rate") < SELDOM_ENDS))
-    return joined.select("row_id", F.coalesce("defect", F.when(cut, F.lit("truncated"))).alias("defect"))
+    cut = F.col("short") | (F.col("end_rate") < NEVER_ENDS) | (F.col("limit") & (F.col("end_rate") < SELDOM_ENDS))
+    return joined.select("row_id", "generator_model", F.coalesce("defect", F.when(cut, F.lit("truncated"))).alias("defect"))
 
 
 def broken_pairs(rows: DataFrame) -> DataFrame:
     """(row_id, defect) of the rows whose text is no usable continuation."""
-    return judge(rows).filter("defect is not null")
+    return judge(rows).filter("defect is not null").select("row_id", "defect")
 
 
 def defect_rates(rows: DataFrame) -> DataFrame:
     """(generator_model, defect, n_rows, share): defects by generator, ``none`` among them; shares are of the generator's rows."""
-    judged = judge(rows).join(rows.select("row_id", "generator_model"), "row_id")
-    each = judged.groupBy("generator_model", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n_rows"))
+    each = judge(rows).groupBy("generator_model", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n_rows"))
     whole = F.sum("n_rows").over(W.partitionBy("generator_model"))
     return each.withColumn("share", F.round(F.col("n_rows") / whole, 6))

@@ -23,7 +23,11 @@ def repeated_words(texts: list[str | None], words: int = WORDS) -> tuple[np.ndar
     A word is repeated when a stretch of ``words`` or more words around it
     stood earlier in the same text; the first occurrence does not count.
     """
-    h, offsets = hash_words(texts)
+    return repeated(*hash_words(texts), words)
+
+
+def repeated(h: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """``repeated_words`` of texts whose words are hashed already."""
     n = np.diff(offsets)
     row, at = gram_rows(offsets, words)
     g = grams(h, words)[at] ^ (row.astype(U64) * U64(0x9E3779B97F4A7C15))

@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 
 from scoreloom.llm import pairrules as R
@@ -73,10 +76,49 @@ def test_shortened_across_partitions(spark):
     assert got == {pairs._code(b) for b in base}
 
 
+def test_a_later_key_goes_on(spark):
+    """The next key begins a new sentence, a later one that begins the same way goes on inside it."""
+    prompt = "The council met on Monday in the old town hall because of the bridge"
+    texts = ["He went early to the work.", "He went early to the work. Then he slept.", "He went early to the workers and left.", "He went early to the work! So he said."]
+    for parts in (1, 4):
+        frame = spark.createDataFrame([(i, prompt, t, "g", "x") for i, t in enumerate(texts)], ROWS).repartition(parts)
+        assert {r.row_id for r in pairs.broken_pairs(frame).collect()} == {0}
+
+
+def test_seams_between_partitions(spark):
+    """Runs of keys longer than a partition, nested ones, and closers before what follows: the same keys for any cut."""
+    rng = random.Random(7)
+    bits = ["a", "b", ".", "! ", '"', " word", ". Then"]
+    for _ in range(30):
+        keys = sorted({"begin of it" + "".join(rng.choice(bits) for _ in range(rng.randrange(7))) for _ in range(60)})
+        want = {k for k in keys if any(o != k and o.startswith(k) and R.goes_on(o[len(k) :]) for o in keys)}
+        cuts = sorted(rng.sample(range(1, len(keys)), 6))
+        codes, seams = set(), set()
+        for part in [keys[a:b] for a, b in zip([0, *cuts], [*cuts, len(keys)])]:
+            for out in pairs._compare_neighbours(iter([pa.RecordBatch.from_arrays([pa.array(part)], names=["key"])])):
+                codes |= {c for c in out.column(0).to_pylist() if c is not None}
+                seams |= {k for k in out.column(1).to_pylist() if k is not None}
+        for out in pairs._compare_seams(iter([pa.RecordBatch.from_arrays([pa.array(sorted(seams))], names=["key"])])):
+            codes |= set(out.column(0).to_pylist())
+        assert codes == {pairs._code(k) for k in want}
+
+
 def test_length_limits(spark):
-    rows = [("g", 100)] * 90 + [("g", n) for n in range(80, 120)] + [("h", n) for n in range(50)]
-    got = pairs.length_limits(spark.createDataFrame(rows, "generator_model string, n_words bigint")).collect()
-    assert [tuple(r) for r in got] == [("g", 100)]
+    rows = [("g", 100)] * 90 + [("g", n) for n in range(80, 120)] + [("h", n) for n in range(50)] + [("k", 7)] * 5
+    for times in (1, 3):
+        got = pairs.length_limits(spark.createDataFrame(rows * times, "generator_model string, n_words bigint")).collect()
+        assert [tuple(r) for r in got if r.generator_model == "g"] == [("g", 100)] and not [r for r in got if r.generator_model == "h"]
+
+
+def test_the_same_verdict_in_tables_of_any_size(spark):
+    """Words that can't end a sentence are known in a table of one row, and those that are never seen to once there are enough; more rows change nothing."""
+    body = "We saw the mill and the road by the town. Then we went home. "
+    few = [(1, None, body + "It rained on the."), (2, None, body + "Then we went home."), (3, None, "Sie sahen das Haus und die.")]
+    seen = []
+    for more in (0, 40, 4000):
+        got = _judge(spark, few + [(10 + i, None, body * 3 + f"He saw house {i} of the town.") for i in range(more)])
+        seen.append({i: got[i] for i in (1, 2, 3)})
+    assert seen == [{1: "truncated", 2: None, 3: "truncated"}] * 3
 
 
 def test_quotations_in_disorder():
