@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.names import dataset_key
@@ -25,6 +26,8 @@ LEAST = 8
 DELTA = 1e-6
 #: Sketches a task holds before it sends them on and starts afresh.
 HELD = 20_000
+#: Tasks that share the sketches of one key in the first of two merges.
+WAYS = 16
 
 
 class Sketch:
@@ -136,7 +139,7 @@ def _seed(*parts: object) -> int:
 def _partial(features: Sequence[str], k: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Sketch] = {}
-        turn = 0
+        part, turn = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = batch.num_rows
             if not rows:
@@ -167,7 +170,7 @@ def _partial(features: Sequence[str], k: int, seed: int) -> Callable[[Iterator[p
                         i, j = divmod(int(ordered[a]), len(days) + 1)
                         key = (names[i] if i < len(names) else None, days[j] if j < len(days) else None, feature)
                         if key not in held:
-                            held[key] = Sketch(_seed(seed, key, turn), k)
+                            held[key] = Sketch(_seed(seed, key, part, turn), k)
                         held[key].add(part)
             if len(held) > HELD:
                 yield from _emit(held)
@@ -177,11 +180,12 @@ def _partial(features: Sequence[str], k: int, seed: int) -> Callable[[Iterator[p
     return run
 
 
-def _merge_sorted(keys: int, k: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _merge_sorted(keys: int, k: int, seed: int, level: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Merges neighbouring rows of one key as they stream by; one sketch is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Sketch] = {}
+        part = TaskContext.get().partitionId()
         for batch in batches:
             ready: dict[tuple, Sketch] = {}
             for *key, n, low, high, moved, body in zip(*(c.to_pylist() for c in batch.columns)):
@@ -190,13 +194,21 @@ def _merge_sorted(keys: int, k: int, seed: int) -> Callable[[Iterator[pa.RecordB
                     held[own].merge(Sketch.unpack(n, low, high, moved, body, 0, k))
                 else:
                     ready |= held
-                    held = {own: Sketch.unpack(n, low, high, moved, body, _seed(seed, own, "merge"), k)}
+                    held = {own: Sketch.unpack(n, low, high, moved, body, _seed(seed, own, level, part), k)}
             yield from _emit(ready)
         yield from _emit(held)
 
     return run
 
 
+def _merged(sketches: DataFrame, way: Column, keys: int, k: int, seed: int, level: str) -> DataFrame:
+    """One sketch for each key, merged in WAYS parts first, so that no task takes in all sketches of a key."""
+    by = ["dataset", "day", "feature"] if keys == 3 else ["dataset", "feature"]
+    parts = sketches.withColumn("_way", F.pmod(way, F.lit(WAYS)))
+    first = parts.repartition(*by, "_way").sortWithinPartitions(*by, "_way").select(_NAMES).mapInArrow(_merge_sorted(keys, k, seed, f"{level} 1"), SCHEMA)
+    return first.repartition(*by).sortWithinPartitions(*by).mapInArrow(_merge_sorted(keys, k, seed, f"{level} 2"), SCHEMA)
+
+
 def daily_sketches(rows: DataFrame, features: Sequence[str] = FEATURES, k: int = K, seed: int = 0) -> DataFrame:
     """(dataset, day, feature, n, low, high, moved, sketch): one sketch of the finite elements of each array.
 
@@ -204,20 +216,19 @@ def daily_sketches(rows: DataFrame, features: Sequence[str] = FEATURES, k: int =
     Null, NaN and infinite elements, null structs and empty arrays add nothing,
     and a group without finite elements has no row.  Every row counts, rows
     delivered twice too.  Each task sends one small sketch per group, however
-    many values the group has, and partial sketches are merged as a sorted
-    stream, so a hot group neither collects values nor sketches in one place.
+    many values the group has, and partial sketches are merged as sorted
+    streams in two steps, so a hot group neither collects values nor sketches in
+    one place.  Tasks draw their bits apart from each other, as the bound asks.
     """
     arrays = [F.col("token_features")[f].alias(f"f{i}") for i, f in enumerate(features)]
     values = rows.select(dataset_key(F.col("dataset")).alias("dataset"), F.date_from_unix_date(F.floor(F.unix_micros(F.col("scored_at").cast("timestamp")) / 86_400_000_000).cast("int")).alias("day"), *arrays)
     partial = values.mapInArrow(_partial(features, k, seed), SCHEMA)
-    by_key = partial.repartition("dataset", "day", "feature").sortWithinPartitions("dataset", "day", "feature")
-    return by_key.mapInArrow(_merge_sorted(3, k, seed), SCHEMA)
+    return _merged(partial, F.spark_partition_id(), 3, k, seed, "days")
 
 
 def combine(sketches: DataFrame, k: int = K, seed: int = 0) -> DataFrame:
     """One sketch per (dataset, feature) from those of days or other parts; day is null."""
-    by_key = sketches.select(_NAMES).repartition("dataset", "feature").sortWithinPartitions("dataset", "feature", "day")
-    return by_key.mapInArrow(_merge_sorted(2, k, seed), SCHEMA)
+    return _merged(sketches.select(_NAMES), F.xxhash64("day"), 2, k, seed, "all")
 
 
 def percentiles(sketches: DataFrame, at: Sequence[float] = PERCENTILES, k: int = K) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,6 @@ from scoreloom.llm.names import article_id, dataset_key
 from scoreloom.runtime import Scratch
 
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-#: A component with at least this share of the rows is placed by size instead of by hash; there are at most 1 / LARGE of them.
-LARGE = 0.01
 _SPAN = 1 << 40
 
 
@@ -40,38 +38,18 @@ def tied_samples(rows: DataFrame) -> DataFrame:
     return groups.filter("sample_id <> group_sample_id").select("group_sample_id", "sample_id")
 
 
-def _plan(large: Sequence[tuple[int, int]], total: int, shares: Sequence[tuple[str, float]]) -> tuple[dict[int, str], list[tuple[str, int]]]:
-    """Splits of the large components, and the hash bound of each split for all others.
-
-    Large components go, by falling size, to the split that lacks most rows; the
-    others share the hash range in proportion to what the splits still lack.
-    """
-    lack = {name: share * total for name, share in shares}
-    placed = {}
-    for group, n in sorted(large, key=lambda x: (-x[1], x[0])):
-        name = max(lack, key=lambda k: lack[k])
-        placed[group] = name
-        lack[name] -= n
-    rest = {k: max(0.0, v) for k, v in lack.items()}
-    whole = sum(rest.values()) or 1.0
-    bounds, at = [], 0.0
-    for name, _ in shares:
-        at += rest[name] / whole
-        bounds.append((name, round(at * _SPAN)))
-    bounds[-1] = (bounds[-1][0], _SPAN)
-    return placed, bounds
-
-
-def split_rows(rows: DataFrame, shares: Sequence[tuple[str, float]] = SHARES, seed: int = 0, large: float = LARGE) -> DataFrame:
+def split_rows(rows: DataFrame, shares: Sequence[tuple[str, float]] = SHARES, seed: int = 0, pinned: Mapping[int, str] | None = None) -> DataFrame:
     """(row_id, sample_id, group_sample_id, contamination_ratio, split) of every row.
 
     Rows tied by sample_id or article, directly or through others, get one
-    split.  The hash of the component's smallest sample falls into ranges of
-    the given shares, so the result depends on neither order nor partitioning
-    and holds within each contamination_ratio too, which the hash ignores.
-    A null ratio is 0.0 and noise is rounded away; a row with a null sample_id
-    and an article goes by that article, one with neither by its row_id.  An
-    empty table gives no rows.
+    split.  The hash of the component's smallest sample falls into fixed ranges
+    of the given shares, so the result depends on neither order nor
+    partitioning nor on rows of other components, and holds within each
+    contamination_ratio too, which the hash ignores.  A component too large for
+    its split can be given another one by ``pinned`` (a short list, see
+    ``large_groups``).  A null ratio is 0.0 and noise is rounded away; a row
+    with a null sample_id and an article goes by that article, one with neither
+    by its row_id.  An empty table gives no rows.
     """
     scratch = Scratch(rows.sparkSession, "splits")
     d, e = dataset_key(F.col("dataset")), article_id(F.col("dataset"), F.col("example_id"))
@@ -83,13 +61,16 @@ def split_rows(rows: DataFrame, shares: Sequence[tuple[str, float]] = SHARES, se
     groups = scratch.save(sample_groups(base, scratch))
     tied = base.drop("dataset", "example_id").join(groups, "sample_id", "left")
     tied = tied.withColumn("group_sample_id", F.coalesce("group_sample_id", "sample_id"))
-    total = rows.count()
-    sizes = tied.groupBy("group_sample_id").count().filter(F.col("count") >= max(2, large * total))
-    placed, bounds = _plan([tuple(r) for r in sizes.collect()], total, shares)
     at = F.pmod(F.xxhash64(F.lit(seed), "group_sample_id"), F.lit(_SPAN))
-    split = F.lit(bounds[-1][0])
-    for name, bound in reversed(bounds[:-1]):
-        split = F.when(at < bound, F.lit(name)).otherwise(split)
-    for group, name in placed.items():
+    split, upto = F.lit(shares[-1][0]), 0.0
+    for name, bound in reversed([(name, upto := upto + share) for name, share in shares[:-1]]):
+        split = F.when(at < round(bound * _SPAN), F.lit(name)).otherwise(split)
+    for group, name in (pinned or {}).items():
         split = F.when(F.col("group_sample_id") == group, F.lit(name)).otherwise(split)
     return tied.select("row_id", "sample_id", "group_sample_id", "contamination_ratio", split.alias("split"))
+
+
+def large_groups(split: DataFrame, share: float = 0.01) -> DataFrame:
+    """(group_sample_id, split, n_rows) of the components with at least this share of all rows of ``split_rows``, for review and ``pinned``."""
+    sizes = split.groupBy("group_sample_id", "split").agg(F.count("*").alias("n_rows"))
+    return sizes.filter(F.col("n_rows") >= share * split.count())

@@ -48,6 +48,18 @@ def test_days_combine(spark, small):
     assert daily.filter("feature = 'logp_a'").agg(F.sum("n")).first()[0] == values
 
 
+def test_errors_stay_within_the_bound(spark):
+    """Many tasks with the same values for a key: each draws its own bits, and the merged ranks keep the stated error."""
+    n, parts = 60_000, 24
+    rows = spark.range(n).repartition(parts).selectExpr("'d' as dataset", "timestamp'2024-01-01' + make_dt_interval(cast(id % 5 as int)) as scored_at", "named_struct('logp_a', transform(sequence(0, 9), k -> double((id * 10 + k) * 7919 % 600011))) as token_features")
+    daily = quantiles.daily_sketches(rows, ("logp_a",))
+    assert daily.count() == 5
+    values = np.sort(np.array([(i * 7919) % 600011 for i in range(n * 10)], dtype=float))
+    for r in quantiles.percentiles(quantiles.combine(daily)).collect():
+        assert r.n == len(values) and 0 < r.rank_error < 0.03
+        assert abs(np.searchsorted(values, r.value, "right") / len(values) - r.percentile / 100) <= r.rank_error
+
+
 ALPHABET = ["'s", "'S", "'t", "'re", "'ve", "'ll", "'d", "'m", "'", " ", "  ", "\n", "\t", " ", "　", "\x1c", "\x85", "a", "é", "9", "½", "²", "!", "🙂", "中", "ſ", "<|endoftext|>", "​", "́", "x" * 30]
 
 

@@ -63,6 +63,19 @@ def test_split_shares(spark):
         assert r["count"] / 3000 == pytest.approx({"train": 0.8, "validation": 0.1, "test": 0.1}[r.split], abs=0.03)
 
 
+def test_no_row_changes_split_when_others_come(spark):
+    own = [(i, "d", f"e{i // 2}", i, "t", 0.0, "g") for i in range(400)]
+    more = [(1000 + i, "d", "hot", 5000 + i, "t", 0.0, "g") for i in range(900)] + [(3000 + i, "d", f"f{i}", 9000 + i, "t", 0.0, "g") for i in range(500)]
+    before = {r.row_id: r.split for r in splits.split_rows(_clean(spark, own)).collect()}
+    found = splits.split_rows(_clean(spark, own + more))
+    after = {r.row_id: r.split for r in found.collect()}
+    assert all(after[k] == v for k, v in before.items())
+    large = splits.large_groups(found, 0.3).collect()
+    assert [(r.group_sample_id, r.n_rows) for r in large] == [(5000, 900)]
+    pinned = {r.row_id: r.split for r in splits.split_rows(_clean(spark, own + more), pinned={5000: "test"}).collect()}
+    assert all(pinned[k] == ("test" if 1000 <= k < 1900 else v) for k, v in after.items())
+
+
 def _repeated(text):
     import re
 
