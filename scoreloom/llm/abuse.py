@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.llm.arrowmap import arrow_map, string_list
 from scoreloom.llm.folding import fold
 from scoreloom.llm.stringkernel import CHUNK, DIMENSIONS, Landmarks, features, fit_svm, scores, whiten
 from scoreloom.llm.wordhash import slices
+from scoreloom.runtime import Scratch
+from scoreloom.sources.records import exists
 
-#: Bounds of the training sample: reviewed documents of either verdict, sentences of one of them, and sentences of either kind in one fit.
-POSITIVE_DOCS, NEGATIVE_DOCS, DOC_SENTENCES, FIT_SENTENCES = 2500, 5000, 300, 4500
+#: Bounds of the training sample: reviewed documents of either verdict, sentences and symbols of one of them, and sentences of either kind in one fit.
+POSITIVE_DOCS, NEGATIVE_DOCS, DOC_SENTENCES, DOC_SYMBOLS, FIT_SENTENCES = 2500, 5000, 300, 20_000, 4500
 #: Landmarks of the rounds of fitting; the word list's terms come on top.
 LANDMARKS = (250, 400, 800)
 COST = 1.0
-#: A document is a case if its worst sentence's margin is above the threshold that fits the crossed margins best, within these limits.
-THRESHOLDS = (-0.2, 0.1)
-#: How much more a wrong report weighs than a missed case when the threshold is chosen: among reviewed documents cases are far more frequent than among all.
-WRONG = 3.0
+#: Thresholds tried over the whole range of the crossed margins.
+TRIED = 2001
 #: Code points handled at a time: what the caches hold.
 SLICE = 150_000
 #: Slope of the reported score, 1 / (1 + exp(-SLOPE * (margin - threshold))).
@@ -37,6 +38,9 @@ class Model:
     vector: np.ndarray
     bias: float
     threshold: float = 0.0
+    #: Crossed margins and verdicts of the reviewed documents, from which the threshold is chosen.
+    crossed: np.ndarray = field(default_factory=lambda: np.empty(0))
+    cases: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=bool))
 
     def margins(self, s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return sliced_scores(s, offsets, self.vector) + self.bias
@@ -132,17 +136,38 @@ def fit(s: np.ndarray, offsets: np.ndarray, doc: np.ndarray, verdict: np.ndarray
     known = np.isfinite(worst)
     case = np.zeros(len(worst), dtype=bool)
     case[doc] = verdict
-    last.threshold = best_threshold(worst[known], case[known])
+    last.crossed, last.cases = worst[known], case[known]
     return last
 
 
-def best_threshold(margin: np.ndarray, case: np.ndarray) -> float:
-    """Middle of the interval of thresholds with the best F1, wrong reports weighted, within THRESHOLDS."""
-    at = np.linspace(*THRESHOLDS, 61)
-    hits = np.array([(case & (margin > t)).sum() for t in at])
-    wrong = np.array([(~case & (margin > t)).sum() for t in at])
-    f1 = 2 * hits / (hits + WRONG * wrong + case.sum())
-    return float(at[f1 >= f1.max() - 1e-3].mean())
+def split_point(margin: np.ndarray, case: np.ndarray) -> float:
+    """The margin that tells cases from others best when both weigh the same."""
+    at = np.linspace(margin.min(), margin.max(), TRIED)
+    gain = _above(margin[case], at) - _above(margin[~case], at)
+    return float(at[gain >= gain.max() - 1e-9].mean())
+
+
+def _above(margin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Share of the margins above each threshold."""
+    return 1 - np.searchsorted(np.sort(margin), at, side="right") / max(len(margin), 1)
+
+
+def best_threshold(margin: np.ndarray, case: np.ndarray, share: float) -> float:
+    """The threshold nearest to 0, the machine's own border, whose F1 among all documents is within a standard error of the best.
+
+    Crossed margins come from machines that saw half of the documents, so they
+    tell the border's place only roughly.  Reviews are no random sample, so cases and others are weighed by what they
+    make up among all documents.  ``share`` is the share of all documents above
+    ``split_point``; the share of cases follows from it and from how many
+    reviewed documents of either kind are above that point.
+    """
+    hit, wrong = (float(_above(margin[kind], np.array([split_point(margin, case)]))[0]) for kind in (case, ~case))
+    cases = float(np.clip((share - wrong) / max(hit - wrong, 1e-9), 1 / (len(margin) + 1), 1 - 1 / (len(margin) + 1)))
+    at = np.linspace(margin.min(), margin.max(), TRIED)
+    found, false = cases * _above(margin[case], at), (1 - cases) * _above(margin[~case], at)
+    f1 = 2 * found / (found + false + cases)
+    near = at[f1 >= f1.max() - math.sqrt(f1.max() * (1 - f1.max()) / case.sum())]
+    return float(near[np.argmin(np.abs(near))])
 
 
 def _draw(rng: np.random.Generator, rows: np.ndarray, n: int) -> np.ndarray:
@@ -155,13 +180,14 @@ def verdicts(reviews: DataFrame) -> DataFrame:
     return each.filter("share <> 0.5").select("doc_id", (F.col("share") > 0.5).alias("abusive"))
 
 
-def train(docs: DataFrame, reviews: DataFrame, terms: DataFrame, seed: int = 0) -> Model:
-    """Fits the machine on a bounded sample of reviewed documents, drawn by a hash of their ids."""
-    decided = verdicts(reviews).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
-    sample = decided.filter("abusive").orderBy("_h").limit(POSITIVE_DOCS).unionByName(decided.filter("not abusive").orderBy("_h").limit(NEGATIVE_DOCS)).drop("_h")
-    labelled = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), "_id")
+_SENTENCES = "_id bigint, abusive boolean, body binary"
+_MODEL = "vector binary, bias double, crossed binary, cases binary"
 
-    def sentences(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+
+def _sentences(seed: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """The folded sentences of each document, within DOC_SENTENCES and DOC_SYMBOLS a draw of them."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, verdict = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         texts = string_list(batch, "_text")
         for a, b in slices(texts):
@@ -169,8 +195,13 @@ def train(docs: DataFrame, reviews: DataFrame, terms: DataFrame, seed: int = 0)
             out: tuple[list, list, list] = ([], [], [])
             for r in np.unique(row):
                 own = np.flatnonzero(row == r)
-                if len(own) > DOC_SENTENCES:
-                    own = np.sort(np.random.default_rng(seed).choice(own, DOC_SENTENCES, replace=False))
+                size = np.diff(at)[own]
+                if len(own) > DOC_SENTENCES or size.sum() > DOC_SYMBOLS:
+                    order = np.random.default_rng(seed).permutation(len(own))[:DOC_SENTENCES]
+                    order = order[np.cumsum(size[order]) <= DOC_SYMBOLS]
+                    own = np.sort(own[order])
+                    if not len(own):
+                        continue
                 body, ends = pick(s, at, own)
                 out[0].append(ids[a + r])
                 out[1].append(verdict[a + r])
@@ -178,9 +209,12 @@ def train(docs: DataFrame, reviews: DataFrame, terms: DataFrame, seed: int = 0)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], names=["_id", "abusive", "body"])
 
-    rows = sorted(arrow_map(labelled.select("_id", "_text", "abusive"), sentences, "_id bigint, abusive boolean, body binary").collect())
+    return run
+
+
+def _fit_rows(rows: list[tuple[int, bool, bytes]], terms: list[str], seed: int) -> Model:
     symbols, ends, doc, verdict, done = [], [np.zeros(1, dtype=np.int64)], [], [], 0
-    for i, (_, abusive, body) in enumerate(rows):
+    for i, (_, abusive, body) in enumerate(sorted(rows)):
         n = int.from_bytes(body[:8], "little")
         at = np.frombuffer(body, dtype=np.int64, count=n, offset=8)
         symbols.append(np.frombuffer(body, dtype=np.uint8, offset=8 + 8 * n))
@@ -188,21 +222,54 @@ def train(docs: DataFrame, reviews: DataFrame, terms: DataFrame, seed: int = 0)
         done += int(at[-1])
         doc.append(np.full(n - 1, i))
         verdict.append(np.full(n - 1, abusive, dtype=bool))
-    if not rows:
-        return Model(np.zeros(DIMENSIONS, dtype=np.float32), -1.0)
+    return fit(np.concatenate(symbols), np.concatenate(ends), np.concatenate(doc), np.concatenate(verdict), terms, seed)
+
+
+def train(docs: DataFrame, reviews: DataFrame, terms: DataFrame, seed: int = 0) -> Model:
+    """Fits the machine on a bounded sample of reviewed documents, drawn by a hash of their ids.
+
+    The sample goes to one task, which fits and gives back the machine: a
+    vector of fixed size and a margin for each document of the sample.
+    """
+    decided = verdicts(reviews).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    sample = decided.filter("abusive").orderBy("_h").limit(POSITIVE_DOCS).unionByName(decided.filter("not abusive").orderBy("_h").limit(NEGATIVE_DOCS)).drop("_h")
+    labelled = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), "_id")
     words = [r.term for r in terms.filter("term is not null").select("term").distinct().orderBy("term").collect()]
-    return fit(np.concatenate(symbols), np.concatenate(ends), np.concatenate(doc), np.concatenate(verdict), words, seed)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        if rows:
+            m = _fit_rows(rows, words, seed)
+            own = (m.vector.astype("<f4").tobytes(), m.bias, m.crossed.astype("<f8").tobytes(), m.cases.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in own], names=["vector", "bias", "crossed", "cases"])
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, margin, score, abusive) of every document: those of its worst sentence.
+    found = arrow_map(labelled.select("_id", "_text", "abusive"), _sentences(seed), _SENTENCES).repartition(1).mapInArrow(run, _MODEL).collect()
+    if not found:
+        return Model(np.zeros(DIMENSIONS, dtype=np.float32), -1.0)
+    r = found[0]
+    return Model(np.frombuffer(r.vector, dtype="<f4"), r.bias, 0.0, np.frombuffer(r.crossed, dtype="<f8"), np.frombuffer(r.cases, dtype=np.uint8) > 0)
+
+
+def save_model(model: Model, spark: SparkSession, path: str) -> None:
+    """Writes a machine, threshold included, as one Parquet row."""
+    row = (bytearray(model.vector.astype("<f4").tobytes()), float(model.bias), float(model.threshold), bytearray(model.crossed.astype("<f8").tobytes()), bytearray(model.cases.astype(np.uint8).tobytes()))
+    spark.createDataFrame([row], "vector binary, bias double, threshold double, crossed binary, cases binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    r = spark.read.parquet(path).first()
+    return Model(np.frombuffer(r.vector, dtype="<f4"), r.bias, r.threshold, np.frombuffer(r.crossed, dtype="<f8"), np.frombuffer(r.cases, dtype=np.uint8) > 0)
+
+
+def margins(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, margin) of every document: that of its worst sentence.
 
     Whole texts are scored, in one pass without a shuffle.  Null, empty and
-    letterless texts have a null margin, the score 0.0 and are no cases; copies
-    get the same result under their own ids.
+    letterless texts have a null margin; copies get the same one under their
+    own ids.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.vector, model.bias, model.threshold))
-    names = ["doc_id", *keep, "margin", "score", "abusive"]
+    sent = docs.sparkSession.sparkContext.broadcast((model.vector, model.bias))
+    names = ["doc_id", *keep, "margin"]
     small = docs.select("doc_id", *(F.col(k) for k in keep), F.col("text").alias("_text"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -212,33 +279,56 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
             s, at, row = fold(texts[a:b])
             worst = np.full(b - a, -np.inf)
             np.maximum.at(worst, row, own.margins(s, at))
-            none = ~np.isfinite(worst)
-            share = 1 / (1 + np.exp(-SLOPE * (np.where(none, -99.0, worst) - own.threshold)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(i).slice(a, b - a) for i in range(1 + len(keep))),
-                    pa.array(worst, mask=none), pa.array(np.where(none, 0.0, share)), pa.array(worst > own.threshold),
-                ],
-                names=names,
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(1 + len(keep))), pa.array(worst, mask=~np.isfinite(worst))], names=names)
 
     types = dict(small.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in ("doc_id", *keep)), "margin double", "score double", "abusive boolean"])
-    return arrow_map(small, run, schema)
+    return arrow_map(small, run, ", ".join([*(f"{k} {types[k]}" for k in ("doc_id", *keep)), "margin double"]))
+
 
+def with_threshold(model: Model, every: DataFrame) -> Model:
+    """The machine with the threshold that suits all documents, of their ``margins``."""
+    if not len(model.crossed) or model.cases.all() or not model.cases.any():
+        return model
+    at = split_point(model.crossed, model.cases)
+    share = every.agg(F.avg((F.coalesce("margin", F.lit(-99.0)) > at).cast("double"))).first()[0]
+    return replace(model, threshold=best_threshold(model.crossed, model.cases, share or 0.0))
 
-def scored(docs: DataFrame, reviews: DataFrame, terms: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return score(docs, train(docs, reviews, terms), keep)
 
+def judged(every: DataFrame, model: Model) -> DataFrame:
+    """``margins`` with (score, abusive): 0.0 and no case without a margin."""
+    far = F.coalesce("margin", F.lit(-99.0)) - F.lit(model.threshold)
+    return every.withColumn("score", F.when(F.col("margin").isNull(), 0.0).otherwise(1 / (1 + F.exp(-SLOPE * far)))).withColumn("abusive", far > 0)
 
-def abusive_docs(docs: DataFrame, reviews: DataFrame, terms: DataFrame) -> DataFrame:
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, margin, score, abusive) of every document, by a machine that has its threshold."""
+    return judged(margins(docs, model, keep), model)
+
+
+def scored(docs: DataFrame, reviews: DataFrame, terms: DataFrame, keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """``score`` of every document by a machine fitted on the reviews, its threshold chosen by the margins of all documents.
+
+    With a path, a machine saved there is used, and a new one saved there.
+    """
+    spark = docs.sparkSession
+    if path and exists(spark, path):
+        return score(docs, load_model(spark, path), keep)
+    fitted = train(docs, reviews, terms)
+    every = Scratch(spark, "abuse").save(margins(docs, fitted, keep))
+    model = with_threshold(fitted, every)
+    if path:
+        save_model(model, spark, path)
+    return judged(every, model)
+
+
+def abusive_docs(docs: DataFrame, reviews: DataFrame, terms: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id) of the cases."""
-    return scored(docs, reviews, terms).filter("abusive").select("doc_id")
+    return scored(docs, reviews, terms, path=path).filter("abusive").select("doc_id")
 
 
-def source_rates(docs: DataFrame, reviews: DataFrame, terms: DataFrame) -> DataFrame:
+def source_rates(docs: DataFrame, reviews: DataFrame, terms: DataFrame, path: str | None = None) -> DataFrame:
     """(source, n_docs, n_abusive, rate, mean_score); a null source is a group of its own."""
-    each = scored(docs, reviews, terms, keep=("source",))
+    each = scored(docs, reviews, terms, keep=("source",), path=path)
     return each.groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum(F.col("abusive").cast("long")).alias("n_abusive"),
         F.round(F.avg(F.col("abusive").cast("double")), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"),

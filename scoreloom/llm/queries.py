@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.llm import abuse, leakage, nearcopies, pairs, quantiles, repetition, splits, tokenize
 from scoreloom.llm.oracle import oracle_sql  # noqa: F401
-from scoreloom.runtime import table
+from scoreloom.runtime import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,17 @@ def _leaks(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-def _abuse(fn: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: fn(*(table(spark, sf_dir, t) for t in ("documents", "abuse_reviews", "abuse_terms")))
+#: Where the machine of each application and data directory is saved, so that its three queries fit once.
+_machines: dict[tuple[str, str], str] = {}
+
+
+def _abuse(fn: Callable[..., DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        path = _machines.setdefault(key, Scratch(spark, "machine").path())
+        return fn(*(table(spark, sf_dir, t) for t in ("documents", "abuse_reviews", "abuse_terms")), path=path)
+
+    return query
 
 
 def queries() -> dict[str, Query]:

@@ -140,3 +140,35 @@ def test_abuse_on_held_out_documents(spark):
     assert {r.source for r in rates} == {"s0", "s1", "s2", None} and sum(r.n_docs for r in rates) == len(docs)
     nothing = abuse.abusive_docs(df, reviews.limit(0), terms.limit(0))
     assert nothing.count() == 0
+
+
+def test_saved_machine(spark, tmp_path):
+    """A saved machine gives the results of the one that was fitted, and is not fitted again."""
+    docs, labels = _corpus(200, 6)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, score string")
+    reviews = spark.createDataFrame([(i, v, "r") for i, v in labels], "doc_id bigint, abusive int, reviewer string")
+    terms = spark.createDataFrame([("idiot",)], "term string")
+    path = str(tmp_path / "machine")
+    first = {r.doc_id: (r.margin, r.abusive) for r in abuse.scored(df, reviews, terms, path=path).collect()}
+    again = {r.doc_id: (r.margin, r.abusive) for r in abuse.scored(df, reviews.limit(0), terms, path=path).collect()}
+    assert first == again and sum(v for _, v in first.values()) > 20
+
+
+def test_threshold_weighs_reviews_by_all_documents():
+    """Reviews with far more cases than the corpus: where both kinds overlap, the threshold is higher than by the reviews alone."""
+    rng = np.random.default_rng(0)
+    case = np.arange(4000) < 2000
+    margin = np.where(case, rng.normal(1, 0.8, 4000), rng.normal(-1, 0.8, 4000))
+    at = abuse.split_point(margin, case)
+    assert abs(at) < 0.2
+    rare, half = (abuse.best_threshold(margin, case, p * (margin[case] > at).mean() + (1 - p) * (margin[~case] > at).mean()) for p in (0.02, 0.5))
+    assert rare > half + 0.2
+
+
+def test_fit_sample_is_bounded_in_symbols(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(abuse, "DOC_SYMBOLS", 200)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["The mill is old. " * 500, "word " * 5000]), pa.array([True, False])], names=["_id", "_text", "abusive"])
+    bodies = [b for out in abuse._sentences(0)(batch) for b in out.column(2).to_pylist()]
+    assert len(bodies) == 1 and len(bodies[0]) < 1000
