@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import os
 import sys
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.llm.arrowmap import arrow_map, string_list
@@ -125,9 +126,8 @@ def byte_alphabet() -> list[str]:
 class Encoder:
     """Pieces to ids by cached pair merging, and back."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, vocabulary: bytes):
+        model = json.loads(vocabulary)["model"]
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         raw = lambda s: bytes(byte_of[c] for c in s)
         self.ids = {raw(t): i for t, i in model["vocab"].items() if all(c in byte_of for c in t)}
@@ -207,8 +207,26 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker and vocabulary file."""
-    return Encoder(path)
+    """The encoder of a vocabulary file on this machine."""
+    with open(path, "rb") as f:
+        return Encoder(f.read())
+
+
+_loaded: dict[str, Encoder] = {}
+
+
+def _shipped(spark: SparkSession, path: str) -> Callable[[], Encoder]:
+    """Gives each worker one encoder of a vocabulary file that only the driver has to have; the file, of some megabytes, travels with the job."""
+    with open(path, "rb") as f:
+        body = f.read()
+    name, sent = hashlib.sha1(body).hexdigest(), spark.sparkContext.broadcast(body)
+
+    def get() -> Encoder:
+        if name not in _loaded:
+            _loaded[name] = Encoder(sent.value)
+        return _loaded[name]
+
+    return get
 
 
 def vocabulary_path(folder: str | None = None, name: str = VOCABULARY) -> str:
@@ -224,11 +242,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     batches are cut into slices of bounded size, so long texts need no more
     memory than their own.  Repeated rows give repeated results.
     """
-    place = path or vocabulary_path()
+    get = _shipped(docs.sparkSession, path or vocabulary_path())
     small = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = encoder(place)
+        own = get()
         texts = string_list(batch, "_text")
         for a, b in slices(texts):
             ids, id_at, starts, piece_at = own.encode(texts[a:b])
@@ -243,11 +261,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """(id, text): the exact text of each list of ids; null ids give a null text."""
-    place = path or vocabulary_path()
+    get = _shipped(rows.sparkSession, path or vocabulary_path())
     small = rows.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = encoder(place)
+        own = get()
         texts = [None if x is None else own.decode(x) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "text"])
 
