@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from scoreloom.functions.text import WHITE
 from scoreloom.operators.evaluate import LOWER, UPPER, WEIGHTS
-from scoreloom.operators.metrics import CURVE
 from scoreloom.operators.ngram import ALPHA
 from scoreloom.operators.prepare import CONTINUATION_TOKENS, MODES, PROMPT_TOKENS, RATIOS
 from scoreloom.operators.scores import METHODS, SINGLE
@@ -88,6 +87,8 @@ LONG = (
     )
     + "), raw AS (SELECT * FROM l WHERE score IS NOT NULL AND NOT isnan(score))"
 )
+# False-positive rates of the curve.
+CURVE = (1.0, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01, 0.005, 0.003, 0.001)
 HUMAN, LLM = "label = 'human' AND contamination_mode = 'none'", "label = 'llm' AND contamination_mode = 'none'"
 TURN = (
     f"turn AS (SELECT method, mean_human, mean_llm, CASE WHEN mean_llm >= mean_human THEN 1 ELSE -1 END AS direction FROM (SELECT method, round(avg(score) FILTER ({HUMAN}), 9) AS mean_human, "
@@ -130,8 +131,8 @@ def _split(source: str) -> str:
     )
 
 
-def _tune(methods: tuple[str, ...]) -> str:
-    """Objective of every candidate of the methods, on the tuning half."""
+def _tune_parts(methods: tuple[str, ...], rows: str = "s") -> str:
+    """CTEs up to ``obj``, the objective of every candidate of the methods on the tuning half of the rows."""
     pooled, tries = [], []
     for m in methods:
         src = "binoculars" if m == "binoculars" else "primary"
@@ -167,10 +168,41 @@ def _tune(methods: tuple[str, ...]) -> str:
     dirty = f"di AS (SELECT method, cand, mode, {hit('t5')} AS d5, {hit('t1')} AS d1, count(*) AS n FROM sc JOIN lim USING (method, cand) JOIN modes ON contamination_mode = mode AND abs(ratio - r) < 1e-12 GROUP BY method, cand, mode)"
     w5, w1, wc = WEIGHTS
     return (
-        f"WITH {SCORED}, {_split('s')}, t AS (SELECT s.* FROM s JOIN split USING (sample_id) WHERE split = 'tune'), {turn2}, {', '.join(pooled)}, "
+        f"{_split(rows)}, t AS (SELECT {rows}.* FROM {rows} JOIN split USING (sample_id) WHERE split = 'tune'), {turn2}, {', '.join(pooled)}, "
         f"sc AS (SELECT * FROM ({' UNION ALL '.join(tries)}) WHERE score IS NOT NULL AND NOT isnan(score)), {modes}, {lim}, {clean}, {dirty} "
-        f"SELECT method, mode, cand, round(CAST(0 AS DOUBLE) + coalesce(d5, 0) * CAST({w5} AS DOUBLE) + coalesce(d1, 0) * CAST({w1} AS DOUBLE) + coalesce(c5, 0) * CAST({wc} AS DOUBLE), 9) AS objective, coalesce(n, 0) AS n_contaminated "
-        "FROM (SELECT method, cand, mode FROM lim, modes) LEFT JOIN cl USING (method, cand) LEFT JOIN di USING (method, cand, mode)"
+        f", obj AS (SELECT method, mode, cand, round(CAST(0 AS DOUBLE) + coalesce(d5, 0) * CAST({w5} AS DOUBLE) + coalesce(d1, 0) * CAST({w1} AS DOUBLE) + coalesce(c5, 0) * CAST({wc} AS DOUBLE), 9) AS objective, coalesce(n, 0) AS n_contaminated "
+        "FROM (SELECT method, cand, mode FROM lim, modes) LEFT JOIN cl USING (method, cand) LEFT JOIN di USING (method, cand, mode))"
+    )
+
+
+def _tune(methods: tuple[str, ...]) -> str:
+    return f"WITH {SCORED}, {_tune_parts(methods)} SELECT * FROM obj"
+
+
+def _evaluate() -> str:
+    """The best candidate of each method and mode, and its rates beside the raw ones on the other half; the last scoring of each row counts."""
+    last = "r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY row_id, scoring_observer_model, scoring_reference_model ORDER BY scored_at DESC NULLS LAST, score_id DESC) = 1)"
+    chosen = "ch AS (SELECT method, mode, cand FROM obj WHERE n_contaminated > 0 QUALIFY row_number() OVER (PARTITION BY method, mode ORDER BY objective DESC, cand) = 1)"
+    scores, specs = [], []
+    for m in METHODS:
+        src = "binoculars" if m == "binoculars" else "primary"
+        spec = {"lower": "b"} if m in SINGLE else {"nll_upper": "b", "logrank_upper": "b2"} if m == "lrr" else {"nll_upper": "b"}
+        text = " || ', ' || ".join(f"'\"{k}\": ' || CAST({c} AS VARCHAR)" for k, c in spec.items())
+        specs.append(f"SELECT '{m}' AS method, mode, b, b2, CASE WHEN cand = 0 THEN '{{}}' ELSE '{{' || {text} || '}}' END AS clip_spec, '{src}' AS score_source FROM ch JOIN b_{m} USING (cand) WHERE method = '{m}'")
+        own = f"(SELECT mode, b, b2 FROM spec WHERE method = '{m}' UNION ALL SELECT '', NULL, NULL)"
+        scores.append(
+            f"SELECT label, contamination_mode, ratio, '{m}' AS method, mode, round({score(m, 'direction', spec)}, 10) AS score FROM e, {own}, (SELECT direction FROM turn2 WHERE method = '{m}') "
+            f"WHERE score_source = '{src}' AND (contamination_mode = 'none' OR mode IN ('', contamination_mode))"
+        )
+    lim = f"tl AS (SELECT method, mode, count(*) AS n_human, round(quantile_cont(score, 0.95), 9) AS t5, round(quantile_cont(score, 0.99), 9) AS t1 FROM ts WHERE {HUMAN} GROUP BY method, mode)"
+    hit = lambda t: f"round(avg(CASE WHEN round(score, 9) >= {t} THEN 1.0 ELSE 0.0 END), 9)"
+    rates = f"ra AS (SELECT contamination_mode, ratio, method, mode, max(n_human) AS n_human, count(*) AS n_llm, {hit('t1')} AS r1, {hit('t5')} AS r5 FROM ts JOIN tl USING (method, mode) WHERE contamination_mode <> 'none' GROUP BY contamination_mode, ratio, method, mode)"
+    return (
+        f"WITH {SCORED}, {last}, {_tune_parts(METHODS, 'r')}, e AS (SELECT r.* FROM r JOIN split USING (sample_id) WHERE split = 'test'), {chosen}, spec AS ({' UNION ALL '.join(specs)}), "
+        f"ts AS (SELECT * FROM ({' UNION ALL '.join(scores)}) WHERE score IS NOT NULL AND NOT isnan(score)), {lim}, {rates} "
+        "SELECT a.contamination_mode AS mode, a.method, a.ratio, direction, spec.score_source, clip_spec, a.r1 AS raw_tpr_at_1_fpr, b.r1 AS clipped_tpr_at_1_fpr, a.r5 AS raw_tpr_at_5_fpr, b.r5 AS clipped_tpr_at_5_fpr, a.n_human AS n_test_human, a.n_llm AS n_test_llm "
+        "FROM ra a LEFT JOIN ra b ON a.method = b.method AND a.contamination_mode = b.contamination_mode AND a.ratio = b.ratio AND b.mode = a.contamination_mode "
+        "JOIN spec ON spec.method = a.method AND spec.mode = a.contamination_mode JOIN turn2 ON turn2.method = a.method WHERE a.mode = ''"
     )
 
 
@@ -241,6 +273,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT 'missing' AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'extra', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
         "tune_single_bound": _tune(SINGLE_BOUND),
         "tune_lrr_grid": _tune(("lrr",)),
+        "evaluate_grid": _evaluate(),
         "array_clip_mean": f"SELECT vec_id, label, round({mean('CAST(embedding AS DOUBLE[])')}, 9) AS raw_mean, round({mean(clip('CAST(embedding AS DOUBLE[])', lower=-0.05))}, 9) AS clipped_mean FROM embeddings",
         "price_quantiles": " UNION ALL ".join(f"SELECT l_returnflag, CAST({q} AS DOUBLE) AS q, count(*) AS n, round(quantile_cont(l_extendedprice, {q}), 6) AS quantile FROM lineitem GROUP BY l_returnflag" for q in (0.01, 0.05, 0.5, 0.95, 0.99)),
         "event_auroc": _auroc("(SELECT * REPLACE (round(value, 10) AS value) FROM events WHERE value IS NOT NULL AND NOT isnan(value))", "event_type", "value", "(user_id % 2 = 1)"),

@@ -151,10 +151,12 @@ def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pooled_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).filter(S.is_clean("human") | S.is_clean("llm"))
     names = [*SINGLE.values(), "cross_entropy_ba"]
-    parts = [rows.select("dataset_key", F.lit(n).alias("feature"), F.explode(feature(n)).alias("x")) for n in names]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    kind = "array<struct<feature:string,x:double>>"
+
+    def tagged(name: str) -> Column:
+        return F.coalesce(F.transform(feature(name), lambda x: F.struct(F.lit(name).alias("feature"), x.alias("x"))).cast(kind), F.array().cast(kind))
+
+    every = rows.select("dataset_key", F.inline(F.concat(*map(tagged, names))))
     return quantiles(every, ["dataset_key", "feature"], "x", sorted({*E.LOWER, *E.UPPER}), decimals=9)
 
 

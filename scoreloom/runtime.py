@@ -8,6 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +80,20 @@ _roots: list[tuple[SparkSession, str]] = []
 atexit.register(_clear)
 
 
+@contextlib.contextmanager
+def skew_split(spark: SparkSession) -> Iterator[None]:
+    """Joins that run inside split hot partitions, whatever the session's own settings, which are put back."""
+    own = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Intermediate tables of one query in the shared folder, kept until the process ends.
 
@@ -100,7 +115,8 @@ class Scratch:
 
     def save(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         path = self.path()
-        df.write.option("compression", compression).parquet(path)
+        with skew_split(self.spark):
+            df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path  # type: ignore[attr-defined]
         return out

@@ -21,8 +21,9 @@ SCORED_ROW = (
     "token_features struct<logp_a:array<double>,rank_a:array<bigint>,logrank_a:array<double>,entropy_a:array<double>,logp_b:array<double>,cross_entropy_ba:array<double>>, "
     "scored_token_ids array<bigint>, scored_tokens array<string>"
 )
-#: Corpora by name: the text fields in order of preference, and the optional id.
+# Corpora by name, with the text fields in order of preference, and the split that is read.
 CORPORA = {"xsum": ("document",), "squad": ("context",), "writingprompts": ("story", "text", "completion")}
+SPLIT = "validation"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = TEXT_ROW) -> DataFrame:
@@ -46,15 +47,22 @@ def write_csv(rows: DataFrame, path: str) -> bool:
     return True
 
 
-def read_corpus(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A registered corpus from Parquet, JSON Lines or CSV files, by the path's ending."""
+def read_corpus(spark: SparkSession, name: str, path: str, split: str | None = None) -> DataFrame:
+    """A registered corpus from Parquet, JSON Lines or CSV files, by the path's ending.
+
+    With a split, of rows with a column ``split`` those of that split; a corpus
+    laid out by split is read from the split's own path.  CSV fields may hold
+    line ends and doubled quotation marks.
+    """
     if name not in CORPORA:
         raise KeyError(name)
     kind = path.rstrip("/").rsplit(".", 1)[-1]
     reader = spark.read
     if kind == "csv":
-        return reader.option("header", True).csv(path)
-    return reader.json(path) if kind in ("json", "jsonl") else reader.parquet(path)
+        rows = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    else:
+        rows = reader.json(path) if kind in ("json", "jsonl") else reader.parquet(path)
+    return rows.filter(F.col("split") == split) if split and "split" in rows.columns else rows
 
 
 def write_partitioned(rows: DataFrame, path: str) -> None:
@@ -63,10 +71,12 @@ def write_partitioned(rows: DataFrame, path: str) -> None:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a finished, non-empty result is there."""
+    """Whether a finished, non-empty result is there: a folder whose write came to its end, or a file."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and fs.getContentSummary(p).getLength() > 0
+    if not fs.exists(p) or fs.getContentSummary(p).getLength() == 0:
+        return False
+    return not fs.getFileStatus(p).isDirectory() or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
 
 
 def materialize(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
