@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions.arrays import EPS, at_least, at_most, clip, mean, minus, negate, number, settled, total
+from scoreloom.functions.arrays import EPS, at_least, at_most, mean, minus, negate, number, settled
 
 #: Methods that average one feature.
 SINGLE = {"log_likelihood": "logp_a", "rank": "rank_a", "log_rank": "logrank_a", "entropy": "entropy_a"}
@@ -85,33 +85,3 @@ def available_methods(rows: DataFrame) -> tuple[str, ...]:
     """Binoculars takes part only if the reference model's feature is there."""
     has = rows.filter(F.col("token_features.cross_entropy_ba").isNotNull()).limit(1).count() > 0
     return METHODS if has else tuple(m for m in METHODS if m != "binoculars")
-
-
-def matrix_scores(batch: DataFrame, specs: Mapping[str, Spec] | None = None) -> DataFrame:
-    """Scores of token-matrix rows (logp_a, logp_b, logrank_a, xent_ab, entropy_a as arrays cut to their active length).
-
-    Means divide by the length plus a tiny number; ``lrr_both`` is a ratio of
-    sums, not of means.
-    """
-    specs = specs or {}
-
-    def bound(method: str, name: str) -> Column:
-        return _bound(specs.get(method, {}), name)
-
-    n = F.size("logp_a") + EPS
-
-    def average(values: Column) -> Column:
-        return total(values) / n
-
-    nll = negate(F.col("logp_a"))
-    both_p = clip(F.col("logp_a"), lower=bound("lrr_both", "logp_lower"))
-    both_r = clip(F.col("logrank_a"), upper=bound("lrr_both", "logrank_upper"))
-    out = {
-        "log_likelihood": average(clip(F.col("logp_a"), lower=bound("log_likelihood", "logp_lower"))),
-        "log_rank": average(clip(F.col("logrank_a"), upper=bound("log_rank", "logrank_upper"))),
-        "lrr_both": -total(both_p) / (total(both_r) + EPS),
-        "likelihood_ratio": average(clip(minus(F.col("logp_a"), F.col("logp_b")), lower=bound("likelihood_ratio", "lrt_lower"))),
-        "binoculars": average(clip(nll, upper=bound("binoculars", "nll_upper"))) / (average(F.col("xent_ab")) + EPS),
-        "entropy_gap": average(minus(clip(nll, upper=bound("entropy_gap", "nll_upper")), F.col("entropy_a"))),
-    }
-    return batch.withColumns({m: settled(c) for m, c in out.items()})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import copy
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,19 +23,38 @@ TAILS = {
     "human": {"nll_a": (2.10, 2.2, 0.70), "nll_b": (1.75, 2.6, 0.60), "logrank_a": (1.35, 2.2, 0.75), "xent_ab": (2.12, 2.7, 0.40)},
 }
 N_TOKENS, MIN_TOKENS, MAX_TOKENS = 80, 25, 80
-#: Candidates of the synthetic grid: quantiles of pooled tokens, none first.
+# Candidates of the synthetic grid, quantiles of pooled tokens.
 LOW = (0.001, 0.005, 0.01, 0.025, 0.05, 0.10, 0.15)
 HIGH = (0.85, 0.90, 0.95, 0.975, 0.99, 0.995, 0.999)
-#: Axes of the curves: shares of human tokens, and false-positive rates.
+# Axes of the curves, shares of human tokens and false-positive rates.
 SHARES = (0.0, 0.02, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50)
 FPRS = (1.0, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01, 0.005, 0.003, 0.001)
-#: Weights of the objective: TPR at 5 %, AUROC contaminated, AUROC clean.
+# Weights of the objective, TPR at 5 %, AUROC contaminated, AUROC clean.
 WEIGHTS = (0.60, 0.25, 0.15)
 
 
+# Spread of the style noise of a document and of its parts, what of it the second model sees, and base, tail index, scale and weights of the entropy.
+STYLE, STYLE_RANK, STYLE_XENT, STYLE_B, SHARED = 0.35, 0.35, 0.25, 0.20, 0.65
+ENTROPY_BASE, ENTROPY_TAIL, ENTROPY_SCALE, ENTROPY_NOISE, ENTROPY_STYLE = 1.70, 3.4, 0.55, 0.5, 0.1
+
+#: Moduli and multipliers of the draws, used in turn: congruences with different moduli one after another, which any engine can compute.
+MODULI, FACTORS = (2147483647, 2147483629, 2147483587), (1103515245, 1812433253 % 2147483629, 1566083941)
+#: Numbers of the named draws.
+DRAWS = {x: i + 1 for i, x in enumerate(("human", "llm", "style", "rank", "xent", "b", "length", "nll_a", "nll_b", "logrank_a", "xent_ab", "entropy", "noise", "mix"))}
+
+
+def state(*keys: Column | int | str) -> Column:
+    """A number below 2^31 that depends on the keys only, whole numbers from 0 on or names of draws; it may be a key again."""
+    out = F.lit(88172645)
+    for i, k in enumerate(keys):
+        own = k if isinstance(k, Column) else F.lit(DRAWS[k] if isinstance(k, str) else k)
+        out = F.pmod((out + own.cast("bigint")) * F.lit(FACTORS[i % 3]), F.lit(MODULI[i % 3]))
+    return out
+
+
 def uniform(*keys: Column | int | str) -> Column:
-    """Uniform in (0, 1) from a hash of the keys: the same on any number of partitions."""
-    return (F.pmod(F.xxhash64(*(k if isinstance(k, Column) else F.lit(k) for k in keys)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """Uniform in (0, 1) by the keys: the same on any number of partitions and in any engine."""
+    return (state(*keys, 362436) + 0.5) / float(max(MODULI))
 
 
 def normal(*keys: Column | int | str) -> Column:
@@ -65,32 +84,52 @@ def _drawn(base: DataFrame, source: str, seed: Column, n_tokens: int = N_TOKENS,
     """(*base, length, five arrays): a document for each row, drawn from its trial and doc."""
     if source not in TAILS:
         raise ValueError(f"unknown source: {source}")
-    who = (seed, F.lit(source), F.col("trial"), F.col("doc"))
     kept = base.columns
-    base = base.withColumns({"_s": 0.35 * normal(*who, "style"), "_r": 0.35 * normal(*who, "rank"), "_x": 0.25 * normal(*who, "xent"), "_b": 0.20 * normal(*who, "b")})
+    who = "_w"
+    base = base.withColumn(who, state(seed, source, F.col("trial"), F.col("doc")))
+    w = F.col(who)
+    base = base.withColumns({"_s": STYLE * normal(w, "style"), "_r": STYLE_RANK * normal(w, "rank"), "_x": STYLE_XENT * normal(w, "xent"), "_b": STYLE_B * normal(w, "b")})
 
     def draw(name: str, i: Column) -> Column:
         start, alpha, scale = TAILS[source][name]
-        return start + power_law(alpha, scale, *who, i, name)
+        return start + power_law(alpha, scale, w, i, name)
 
     def over(fn) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(n_tokens - 1)), fn)
 
     if lengths:
         low, high = lengths
-        length = (F.floor(uniform(*who, "length") * (high - low + 1)) + low).cast("int")
+        length = (F.floor(uniform(w, "length") * (high - low + 1)) + low).cast("int")
     else:
         length = F.lit(n_tokens)
     return base.select(
         *kept, length.alias("length"),
         over(lambda i: F.least(-(draw("nll_a", i) + F.col("_s")), F.lit(-EPS))).alias("logp_a"),
-        over(lambda i: F.least(-(draw("nll_b", i) + 0.65 * F.col("_s") + F.col("_b")), F.lit(-EPS))).alias("logp_b"),
+        over(lambda i: F.least(-(draw("nll_b", i) + SHARED * F.col("_s") + F.col("_b")), F.lit(-EPS))).alias("logp_b"),
         over(lambda i: F.greatest(draw("logrank_a", i) + F.col("_r"), F.lit(EPS))).alias("logrank_a"),
         over(lambda i: F.greatest(draw("xent_ab", i) + F.col("_x"), F.lit(EPS))).alias("xent_ab"),
-        over(lambda i: F.greatest(1.70 + 0.5 * power_law(3.4, 0.55, *who, i, "entropy") + 0.1 * F.col("_s") + 0.5 * normal(*who, i, "noise"), F.lit(EPS))).alias("entropy_a"),
+        over(
+            lambda i: F.greatest(ENTROPY_BASE + 0.5 * power_law(ENTROPY_TAIL, ENTROPY_SCALE, w, i, "entropy") + ENTROPY_STYLE * F.col("_s") + ENTROPY_NOISE * normal(w, i, "noise"), F.lit(EPS))
+        ).alias("entropy_a"),
     )
 
 
+def matrix_scores(batch: DataFrame, specs: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """(trial, doc, one column for each matrix method) of documents as ``sample_tokens`` gives them, clipped by the bounds of ``specs``.
+
+    Means divide by the length plus a tiny number; ``lrr_both`` is a ratio of
+    sums, not of means.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                docs = Docs(part.to_pandas())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(docs.score(m, (specs or {}).get(m, {}))) for m in MATRIX_METHODS)], names=["trial", "doc", *MATRIX_METHODS])
+
+    return batch.select("trial", "doc", "length", *ARRAYS).mapInArrow(run, "trial bigint, doc bigint, " + ", ".join(f"{m} double" for m in MATRIX_METHODS))
+
+
 def active(batch: DataFrame) -> DataFrame:
     """Arrays cut to their active length."""
     return batch.withColumns({a: F.slice(F.col(a), F.lit(1), F.col("length")) for a in ARRAYS})

@@ -8,6 +8,7 @@ from scoreloom.operators.ngram import ALPHA
 from scoreloom.operators.prepare import CONTINUATION_TOKENS, MODES, PROMPT_TOKENS, RATIOS
 from scoreloom.operators.scores import METHODS, SINGLE
 from scoreloom.plans.queries import FIXED, SINGLE_BOUND
+from scoreloom.plans.trialsql import first_trial
 from scoreloom.sources.records import CORPORA
 from scoreloom.sources.reports import RATES
 
@@ -274,6 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "tune_single_bound": _tune(SINGLE_BOUND),
         "tune_lrr_grid": _tune(("lrr",)),
         "evaluate_grid": _evaluate(),
+        "first_trial": first_trial(),
         "array_clip_mean": f"SELECT vec_id, label, round({mean('CAST(embedding AS DOUBLE[])')}, 9) AS raw_mean, round({mean(clip('CAST(embedding AS DOUBLE[])', lower=-0.05))}, 9) AS clipped_mean FROM embeddings",
         "price_quantiles": " UNION ALL ".join(f"SELECT l_returnflag, CAST({q} AS DOUBLE) AS q, count(*) AS n, round(quantile_cont(l_extendedprice, {q}), 6) AS quantile FROM lineitem GROUP BY l_returnflag" for q in (0.01, 0.05, 0.5, 0.95, 0.99)),
         "event_auroc": _auroc("(SELECT * REPLACE (round(value, 10) AS value) FROM events WHERE value IS NOT NULL AND NOT isnan(value))", "event_type", "value", "(user_id % 2 = 1)"),

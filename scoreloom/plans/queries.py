@@ -241,6 +241,12 @@ def trial_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.curves_by_mode(spark, P.MODES)
 
 
+def first_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of the trials of ``trial_curves`` by itself, at its whole size: what the means are taken of."""
+    rows = Y.trial_rates(spark, P.MODES, 1, 1000, 2000, Y.SHARES, Y.FPRS, 0.25, 11)
+    return rows.select("mode", "method", "clipped", "share", "fpr", F.round("tpr", 6).alias("tpr"), F.round("auroc", 6).alias("auroc"))
+
+
 def _metrics(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(table(spark, sf_dir, "metric_rows"))
 
@@ -250,7 +256,7 @@ def queries() -> dict[str, Query]:
         tpr_at_fpr, first_text_field, dedupe_prefix, sentence_counts, prompt_continuation, pair_unpivot, expand_grid, contaminate_random_sentences, contaminate_tail_sentences,
         ngram_scores, doc_scores_raw, doc_scores_clipped, stored_scores, stale_counts, last_scored, method_sources, split_half, orientation, pooled_quantiles,
         tpr_curve, auroc, subset_counts, ratio_fallback, key_differences, tune_single_bound, tune_lrr_grid, evaluate_grid, array_clip_mean, price_quantiles,
-        event_auroc, job_matrix, synthetic_batch, trial_curves,
+        event_auroc, job_matrix, synthetic_batch, first_trial, trial_curves,
     )
     reports = {"metric_mean_rates": T.mean_rates, "metric_clipping_gain": T.clipping_gain, "metric_broken_rows": T.broken_metrics, "metric_console_table": T.console_table}
     return {f.__name__: f for f in own} | {k: _metrics(f) for k, f in reports.items()}

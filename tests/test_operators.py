@@ -16,7 +16,7 @@ from scoreloom.operators import scorer
 from scoreloom.operators import synthetic as Y
 from scoreloom.operators.grid import grid_scores
 from scoreloom.operators.quantiles import quantiles
-from scoreloom.operators.scores import METHODS, clipped_score, matrix_scores, raw_score
+from scoreloom.operators.scores import METHODS, clipped_score, raw_score
 from scoreloom.sources import records as R
 from scoreloom.sources import reports
 
@@ -295,13 +295,23 @@ def test_synthetic(spark):
         Y.contaminate(llm, human, F.lit(0.1), "other")
     with pytest.raises(ValueError):
         Y.sample_tokens(spark, "cat", 1, 1)
-    one = next(r for r in matrix_scores(Y.active(llm)).collect())
+    one = Y.matrix_scores(llm).first()
     m = base[one.trial, one.doc]
     n = m.length
     assert one.lrr_both == pytest.approx(-sum(m.logp_a[:n]) / sum(m.logrank_a[:n]), rel=1e-6)
     assert one.likelihood_ratio == pytest.approx(np.mean(np.subtract(m.logp_a[:n], m.logp_b[:n])), rel=1e-6)
-    docs = Y.Docs(llm.filter("trial = 0").orderBy("doc").toPandas())
-    assert np.allclose(docs.score("binoculars", {}), [r.binoculars for r in matrix_scores(Y.active(llm)).filter("trial = 0").orderBy("doc").collect()], atol=1e-6)
+    low = Y.matrix_scores(llm, {"log_likelihood": {"logp_lower": -2.0}}).first()
+    assert low.log_likelihood == pytest.approx(np.maximum(base[low.trial, low.doc].logp_a[: base[low.trial, low.doc].length], -2.0).mean(), rel=1e-6)
+
+
+def test_draws_are_uniform_and_apart(spark):
+    """Means, spread and the correlation of draws by neighbouring keys and by names are those of independent ones."""
+    rows = spark.range(200_000).select(*(Y.uniform(3, F.col("id"), k).alias(f"a{k}") for k in (0, 1)), Y.uniform(3, F.col("id") + 1, 0).alias("next"), Y.uniform(4, F.col("id"), 0).alias("seed"), Y.normal(3, F.col("id"), "noise").alias("z")).toPandas()
+    assert abs(rows.a0.mean() - 0.5) < 0.004 and abs(rows.a0.std() - 12**-0.5) < 0.003
+    assert (np.abs(rows[["a0", "a1", "next", "seed"]].corr().to_numpy() - np.eye(4)) < 0.012).all()
+    assert abs(rows.z.mean()) < 0.012 and abs(rows.z.std() - 1) < 0.012
+    counts = np.bincount((rows.a0 * 100).astype(int), minlength=100)
+    assert ((counts - 2000) ** 2 / 2000).sum() < 170
 
 
 class _Toy:
