@@ -7,7 +7,7 @@ tokens, and candidates that share a mean share its computation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from scoreloom.functions.arrays import DECIMALS, EPS
 from scoreloom.operators.scores import SINGLE
 
-FEATURES = ("logp_a", "rank_a", "logrank_a", "entropy_a", "cross_entropy_ba")
+FEATURES = ("logp_a", "rank_a", "logrank_a", "entropy_a", "logp_b", "cross_entropy_ba")
+#: Features of the methods that take two.
+TWO = {"entropy_gap": ("logp_a", "entropy_a"), "lrr": ("logp_a", "logrank_a"), "binoculars": ("logp_a", "cross_entropy_ba"), "likelihood_ratio": ("logp_a", "logp_b")}
 
 
 class Tokens:
@@ -44,17 +46,18 @@ class Tokens:
         """Mean of ``direction`` times a feature, or of nll or nll minus entropy, clipped; finite tokens only."""
         key = (kind, direction, lower, upper)
         if key not in self.known:
-            name = {"nll": "logp_a", "gap": "logp_a"}.get(kind, kind)
+            name = {"nll": "logp_a", "gap": "logp_a", "ratio": "logp_a"}.get(kind, kind)
             values, ends = self.flat[name] * (-1 if kind in ("nll", "gap") else direction), self.ends[name]
             if lower is not None:
                 values = np.where(np.isfinite(values), np.maximum(values, lower), values)
             if upper is not None:
                 values = np.where(np.isfinite(values), np.minimum(values, upper), values)
-            if kind == "gap":
-                own, other = np.diff(ends), np.diff(self.ends["entropy_a"])
+            if kind in ("gap", "ratio"):
+                less = "entropy_a" if kind == "gap" else "logp_b"
+                own, other = np.diff(ends), np.diff(self.ends[less])
                 both = np.minimum(own, other)
                 place = np.arange(int(both.sum())) - np.repeat(np.cumsum(both) - both, both)
-                values = values[np.repeat(ends[:-1], both) + place] - self.flat["entropy_a"][np.repeat(self.ends["entropy_a"][:-1], both) + place]
+                values = values[np.repeat(ends[:-1], both) + place] - self.flat[less][np.repeat(self.ends[less][:-1], both) + place]
                 ends = np.concatenate([[0], np.cumsum(both)])
             self.known[key] = self._mean(values, ends)
         return self.known[key]
@@ -69,20 +72,42 @@ class Tokens:
             return direction * self.mean("nll", upper=upper) / (self.mean("logrank_a", upper=spec.get("logrank_upper")) + EPS)
         if method == "binoculars":
             return direction * self.mean("nll", upper=upper) / (self.mean("cross_entropy_ba") + EPS)
+        if method == "likelihood_ratio":
+            return direction * self.mean("ratio")
         raise KeyError(method)
 
 
+def _features(methods: Iterable[str]) -> list[str]:
+    """The features that the methods need; an unknown method is a KeyError."""
+    need: set[str] = set()
+    for m in methods:
+        need |= {SINGLE[m]} if m in SINGLE else set(TWO[m])
+    return [f for f in FEATURES if f in need]
+
+
+def wide_scores(rows: DataFrame, keep: Sequence[str], specs: Mapping[str, tuple[str, int, Mapping[str, float]]]) -> DataFrame:
+    """(*keep, one column for each name of ``specs``): scores by method, direction and bounds; null without finite tokens."""
+    names = _features(m for m, _, _ in specs.values())
+    small = rows.select(*(F.col(k) for k in keep), *(F.col("token_features")[f].alias(f"_{f}") for f in names))
+    types, width = dict(small.dtypes), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                tokens = Tokens({f: batch.column(width + i) for i, f in enumerate(names)})
+                found = [tokens.score(m, d, s) for m, d, s in specs.values()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(x, mask=np.isnan(x)) for x in found)], names=[*keep, *specs])
+
+    return small.mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in keep), *(f"{n} double" for n in specs)]))
+
+
 def grid_scores(rows: DataFrame, keep: Sequence[str], specs: Mapping[str, Sequence[Mapping[str, float]]], directions: Mapping[str, int]) -> DataFrame:
     """(*keep, method, cand, score) of every document and candidate; null scores are left out.
 
     ``score`` is rounded for comparisons.  Only the features that the methods
     need are read.
     """
-    need = {f for m in specs for f in {"entropy_gap": ("logp_a", "entropy_a"), "lrr": ("logp_a", "logrank_a"), "binoculars": ("logp_a", "cross_entropy_ba")}.get(m, (SINGLE.get(m, ""),))} - {""}
-    unknown = [m for m in specs if m not in SINGLE and m not in ("entropy_gap", "lrr", "binoculars")]
-    if unknown:
-        raise KeyError(unknown[0])
-    names = [f for f in FEATURES if f in need]
+    names = _features(specs)
     small = rows.select(*(F.col(k) for k in keep), *(F.col("token_features")[f].alias(f"_{f}") for f in names))
     types = dict(small.dtypes)
     width = len(keep)

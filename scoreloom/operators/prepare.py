@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions.names import stable_hash
@@ -13,6 +14,8 @@ from scoreloom.functions.text import LEAST_WORDS, first_long_field, first_long_t
 RATIOS = (0.0, 0.05, 0.10, 0.20, 0.30, 0.40, 0.50)
 MODES = ("random", "tail")
 PROMPT_TOKENS, CONTINUATION_TOKENS = 30, 220
+# Texts read for each sample wanted.
+SPARE = 4
 #: Least tokens behind the prompt, and least sentences of a continuation.
 LEAST_CONTINUATION, LEAST_SENTENCES = 40, 2
 
@@ -48,6 +51,19 @@ def prompt_and_continuation(texts: DataFrame, prompt_tokens: int = PROMPT_TOKENS
     return cut.filter(F.size(sentences(F.col("continuation"))) >= LEAST_SENTENCES)
 
 
+def corpus_examples(texts: DataFrame, dataset: str, n_samples: int, seed: int = 0) -> DataFrame:
+    """(sample_id, dataset, example_id, prompt, human_continuation) from the texts (id, text) of a corpus.
+
+    Texts come in a seeded order without repeated beginnings, SPARE times as
+    many as samples are wanted, as some are too short to be cut; samples are
+    numbered in that order.
+    """
+    first = dedupe_prefix(texts, seed, SPARE * n_samples)
+    cut = prompt_and_continuation(first.select("id", "text")).join(first.select("id", "order"), "id")
+    number = F.row_number().over(W.orderBy("order", "id")) - 1  # of SPARE * n_samples rows at most
+    return cut.select(number.cast("bigint").alias("sample_id"), F.lit(dataset).alias("dataset"), F.col("id").cast("string").alias("example_id"), "prompt", F.col("continuation").alias("human_continuation"))
+
+
 def base_examples(rows: DataFrame) -> DataFrame:
     """(sample_id, dataset, example_id, prompt, human_continuation, llm_continuation): one wide row for each sample with clean texts of both labels.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.functions.text import sentences
+
 PROBES = ("Hello world.", "The quick brown fox", "a b c")
 
 
@@ -93,6 +96,57 @@ _FEATURES = "token_features struct<logp_a:array<double>,rank_a:array<bigint>,log
 _loaded: dict[str, object] = {}
 
 
+def _models(load: Callable[[], tuple[Model, Model | None]], key: str) -> tuple[Model, Model | None]:
+    """The models of this worker, loaded once; two models must cut texts alike."""
+    if key not in _loaded:
+        a, b = load()
+        if b is not None and b is not a:
+            same_tokens(a, b)
+        _loaded[key] = (a, b)
+    return _loaded[key]  # type: ignore[return-value]
+
+
+def named_models(name: str) -> Callable[[], tuple[Model, Model | None]]:
+    """The function ``module:function`` that loads (first model, second model or None), looked up on the worker."""
+
+    def load() -> tuple[Model, Model | None]:
+        module, function = name.split(":")
+        return getattr(importlib.import_module(module), function)()
+
+    return load
+
+
+def generate_rows(rows: DataFrame, load: Callable[[], tuple[Model, Model | None]], max_new_tokens: int, temperature: float = 0.8, top_p: float = 0.95, seed: int = 0, end: int | None = None, id_col: str = "sample_id", key: str = "models") -> DataFrame:
+    """(id, llm_continuation) of rows with a prompt, by the first model; a row's seed comes from its id, so the result depends on no partitioning.
+
+    A null prompt is an empty one.
+    """
+    small = rows.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce("prompt", F.lit("")).alias("_p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, _ = _models(load, key)
+        for batch in batches:
+            ids, prompts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = [generate(a, p, max_new_tokens, temperature, top_p, (seed * 1_000_003 + (i or 0)) % (1 << 63), end) for i, p in zip(ids, prompts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "llm_continuation"])
+
+    return small.mapInArrow(run, "_id bigint, llm_continuation string").withColumnRenamed("_id", id_col)
+
+
+def sentence_costs(examples: DataFrame, load: Callable[[], tuple[Model, Model | None]], key: str = "models") -> DataFrame:
+    """(sample_id, costs) of (sample_id, prompt, human_continuation): the mean cost of each human sentence to the first model, after the prompt and all sentences before it."""
+    small = examples.select(F.col("sample_id").cast("bigint").alias("sample_id"), F.coalesce("prompt", F.lit("")).alias("_p"), sentences(F.col("human_continuation")).alias("_s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, _ = _models(load, key)
+        for batch in batches:
+            prompts, each = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            costs = [[mean_cost(a, " ".join([prompt, *parts[:k]]).strip(), part) for k, part in enumerate(parts or [])] for prompt, parts in zip(prompts, each)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(costs, pa.list_(pa.float64()))], names=["sample_id", "costs"])
+
+    return small.mapInArrow(run, "sample_id bigint, costs array<double>")
+
+
 def score_rows(rows: DataFrame, load: Callable[[], tuple[Model, Model | None]], id_col: str = "row_id", key: str = "models") -> DataFrame:
     """(id, num_scored_tokens, token_features) of rows with prompt and text, by models that each worker loads once.
 
@@ -101,9 +155,7 @@ def score_rows(rows: DataFrame, load: Callable[[], tuple[Model, Model | None]],
     small = rows.select(F.col(id_col).alias("_id"), F.coalesce("prompt", F.lit("")).alias("_p"), F.coalesce("text", F.lit("")).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _loaded:
-            _loaded[key] = load()
-        a, b = _loaded[key]  # type: ignore[misc]
+        a, b = _models(load, key)
         for batch in batches:
             found = [score_text(a, b, p, t) if a.encode(t) else None for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             kind = pa.struct([(n, pa.list_(pa.int64() if n == "rank_a" else pa.float64())) for n in ("logp_a", "rank_a", "logrank_a", "entropy_a", "logp_b", "cross_entropy_ba")])

@@ -37,24 +37,24 @@ WEIGHTS = (0.60, 0.25, 0.15)
 STYLE, STYLE_RANK, STYLE_XENT, STYLE_B, SHARED = 0.35, 0.35, 0.25, 0.20, 0.65
 ENTROPY_BASE, ENTROPY_TAIL, ENTROPY_SCALE, ENTROPY_NOISE, ENTROPY_STYLE = 1.70, 3.4, 0.55, 0.5, 0.1
 
-#: Moduli and multipliers of the draws, used in turn: congruences with different moduli one after another, which any engine can compute.
-MODULI, FACTORS = (2147483647, 2147483629, 2147483587), (1103515245, 1812433253 % 2147483629, 1566083941)
+#: Moduli, multipliers and masks of the draws, used in turn: congruences after an exclusive or, which any engine can compute; two more keys stir the last one in.
+MODULI, FACTORS, MASKS, STIR = (2147483647, 2147483629, 2147483587), (1103515245, 1812433253, 1566083941), (0x2545F491, 0x5BD1E995, 0x1B873593), (362436, 521288)
 #: Numbers of the named draws.
 DRAWS = {x: i + 1 for i, x in enumerate(("human", "llm", "style", "rank", "xent", "b", "length", "nll_a", "nll_b", "logrank_a", "xent_ab", "entropy", "noise", "mix"))}
 
 
 def state(*keys: Column | int | str) -> Column:
     """A number below 2^31 that depends on the keys only, whole numbers from 0 on or names of draws; it may be a key again."""
-    out = F.lit(88172645)
+    out = F.lit(88172645).cast("bigint")
     for i, k in enumerate(keys):
         own = k if isinstance(k, Column) else F.lit(DRAWS[k] if isinstance(k, str) else k)
-        out = F.pmod((out + own.cast("bigint")) * F.lit(FACTORS[i % 3]), F.lit(MODULI[i % 3]))
+        out = F.pmod((out + own.cast("bigint")).bitwiseXOR(F.lit(MASKS[i % 3]).cast("bigint")) * F.lit(FACTORS[i % 3]), F.lit(MODULI[i % 3]))
     return out
 
 
 def uniform(*keys: Column | int | str) -> Column:
     """Uniform in (0, 1) by the keys: the same on any number of partitions and in any engine."""
-    return (state(*keys, 362436) + 0.5) / float(max(MODULI))
+    return (state(*keys, *STIR) + 0.5) / float(max(MODULI))
 
 
 def normal(*keys: Column | int | str) -> Column:

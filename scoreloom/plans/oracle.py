@@ -276,6 +276,9 @@ def oracle_sql() -> dict[str, str]:
         "tune_lrr_grid": _tune(("lrr",)),
         "evaluate_grid": _evaluate(),
         "first_trial": first_trial(),
+        "trial_report": "SELECT mode, method, " + ", ".join(f"round(avg(auroc) FILTER ({'' if c else 'NOT '}clipped), 6) AS {n}_auroc" for n, c in (("raw", False), ("clipped", True))) + ", "
+        + ", ".join(f"round(max(tpr) FILTER ({'' if c else 'NOT '}clipped AND fpr = {f}), 6) AS {n}_tpr_at_{p}_fpr" for f, p in ((0.05, 5), (0.01, 1)) for n, c in (("raw", False), ("clipped", True)))
+        + f", {labels} AS label FROM ({first_trial()}) WHERE share = 0.25 GROUP BY mode, method",
         "array_clip_mean": f"SELECT vec_id, label, round({mean('CAST(embedding AS DOUBLE[])')}, 9) AS raw_mean, round({mean(clip('CAST(embedding AS DOUBLE[])', lower=-0.05))}, 9) AS clipped_mean FROM embeddings",
         "price_quantiles": " UNION ALL ".join(f"SELECT l_returnflag, CAST({q} AS DOUBLE) AS q, count(*) AS n, round(quantile_cont(l_extendedprice, {q}), 6) AS quantile FROM lineitem GROUP BY l_returnflag" for q in (0.01, 0.05, 0.5, 0.95, 0.99)),
         "event_auroc": _auroc("(SELECT * REPLACE (round(value, 10) AS value) FROM events WHERE value IS NOT NULL AND NOT isnan(value))", "event_type", "value", "(user_id % 2 = 1)"),

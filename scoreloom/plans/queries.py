@@ -15,8 +15,9 @@ from scoreloom.operators import ngram as N
 from scoreloom.operators import prepare as P
 from scoreloom.operators import samples as S
 from scoreloom.operators import synthetic as Y
+from scoreloom.operators.grid import wide_scores
 from scoreloom.operators.quantiles import quantiles
-from scoreloom.operators.scores import METHODS, SINGLE, available_methods, clipped_score, feature, long_scores, raw_score, raw_scores
+from scoreloom.operators.scores import METHODS, SINGLE, available_methods, feature, raw_score
 from scoreloom.runtime import Scratch, table
 from scoreloom.sources import records as R
 from scoreloom.sources import reports as T
@@ -104,19 +105,21 @@ def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_scores_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "score_real_text").select("score_id", *(shown(raw_score(m)).alias(m) for m in (*METHODS, "likelihood_ratio")))
+    names = (*METHODS, "likelihood_ratio")
+    found = wide_scores(table(spark, sf_dir, "score_real_text"), ("score_id",), {m: (m, 1, {}) for m in names})
+    return found.select("score_id", *(shown(F.col(m)).alias(m) for m in names))
 
 
 def doc_scores_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "score_real_text")
-    return rows.select("score_id", *(shown(clipped_score(m, F.lit(d), spec)).alias(m) for m, (d, spec) in FIXED.items()))
+    found = wide_scores(table(spark, sf_dir, "score_real_text"), ("score_id",), {m: (m, d, spec) for m, (d, spec) in FIXED.items()})
+    return found.select("score_id", *(shown(F.col(m)).alias(m) for m in FIXED))
 
 
 def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per method: how many stored scores there are, and how many differ from what the tokens give."""
     kept = ("log_likelihood", "rank", "log_rank", "entropy", "entropy_gap", "binoculars")
-    rows = raw_scores(table(spark, sf_dir, "score_real_text"), kept)
-    each = rows.select(F.inline(F.array(*(F.struct(F.lit(m).alias("method"), F.col("doc_scores")[m].alias("stored"), F.col(m).alias("score")) for m in kept))))
+    rows = wide_scores(table(spark, sf_dir, "score_real_text"), ("doc_scores",), {m: (m, 1, {}) for m in kept})
+    each = rows.select(F.inline(F.array(*(F.struct(F.lit(m).alias("method"), F.col("doc_scores")[m].alias("stored"), F.round(m, 10).alias("score")) for m in kept))))
     far = F.abs(F.col("stored") - F.col("score")) > 0.01
     return each.groupBy("method").agg(F.count("stored").alias("n_stored"), F.count("score").alias("n_scored"), F.count(F.when(far, 1)).alias("n_differ"))
 
@@ -143,8 +146,8 @@ def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = long_scores(raw_scores(scored(spark, sf_dir)), ("label", "contamination_mode", "score_source"))
-    long = long.filter(F.col("score_source") == F.when(F.col("method") == "binoculars", "binoculars").otherwise("primary"))
+    keep = ("label", "contamination_mode")
+    long = E._scores(scored(spark, sf_dir), keep, {m: [{}] for m in METHODS}, {m: 1 for m in METHODS})
     return M.orientation(long, ["method"], S.is_clean("human"), S.is_clean("llm"))
 
 
@@ -247,6 +250,11 @@ def first_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mode", "method", "clipped", "share", "fpr", F.round("tpr", 6).alias("tpr"), F.round("auroc", 6).alias("auroc"))
 
 
+def trial_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC and rates of the first trial, raw beside clipped, at the share its bounds were tuned at."""
+    return T.comparison(Y.trial_rates(spark, P.MODES, 1, 1000, 2000, (0.25,), (0.05, 0.01), 0.25, 11))
+
+
 def _metrics(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(table(spark, sf_dir, "metric_rows"))
 
@@ -256,7 +264,7 @@ def queries() -> dict[str, Query]:
         tpr_at_fpr, first_text_field, dedupe_prefix, sentence_counts, prompt_continuation, pair_unpivot, expand_grid, contaminate_random_sentences, contaminate_tail_sentences,
         ngram_scores, doc_scores_raw, doc_scores_clipped, stored_scores, stale_counts, last_scored, method_sources, split_half, orientation, pooled_quantiles,
         tpr_curve, auroc, subset_counts, ratio_fallback, key_differences, tune_single_bound, tune_lrr_grid, evaluate_grid, array_clip_mean, price_quantiles,
-        event_auroc, job_matrix, synthetic_batch, first_trial, trial_curves,
+        event_auroc, job_matrix, synthetic_batch, first_trial, trial_report, trial_curves,
     )
     reports = {"metric_mean_rates": T.mean_rates, "metric_clipping_gain": T.clipping_gain, "metric_broken_rows": T.broken_metrics, "metric_console_table": T.console_table}
     return {f.__name__: f for f in own} | {k: _metrics(f) for k, f in reports.items()}

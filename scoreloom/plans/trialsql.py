@@ -15,12 +15,12 @@ EPS = "CAST(1e-12 AS DOUBLE)"
 def state(*keys: object) -> str:
     out = "88172645"
     for i, k in enumerate(keys):
-        out = f"((({out} + CAST({Y.DRAWS.get(k, k)} AS BIGINT)) * {Y.FACTORS[i % 3]}) % {Y.MODULI[i % 3]})"
+        out = f"((xor({out} + CAST({Y.DRAWS.get(k, k)} AS BIGINT), CAST({Y.MASKS[i % 3]} AS BIGINT)) * {Y.FACTORS[i % 3]}) % {Y.MODULI[i % 3]})"
     return out
 
 
 def uniform(*keys: object) -> str:
-    return f"(({state(*keys, 362436)} + CAST(0.5 AS DOUBLE)) / CAST({max(Y.MODULI)} AS DOUBLE))"
+    return f"(({state(*keys, *Y.STIR)} + CAST(0.5 AS DOUBLE)) / CAST({max(Y.MODULI)} AS DOUBLE))"
 
 
 def normal(*keys: object) -> str:

@@ -31,6 +31,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = TEXT_ROW) -> DataFr
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first rows in the order of the files' names and of their lines, of a frame read from files."""
+    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    marked = rows.select("*", place[0].alias("_file"), place[1].alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return marked.orderBy("_file", "_block", "_line").limit(n).drop("_file", "_block", "_line")
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     """One JSON object a line, non-ASCII as it is; replaces what is there."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.operators.scores import LABELS
@@ -47,8 +47,21 @@ def console_table(metrics: DataFrame, rate: str = "clipped_tpr_at_5_fpr") -> Dat
     return each.select("method", F.coalesce(names[F.col("method")], F.col("method")).alias("label"), *modes)
 
 
-def plot_curves(metrics: DataFrame, path: str, x: str = "ratio", y: Sequence[str] = ("raw_tpr_at_5_fpr", "clipped_tpr_at_5_fpr"), log_x: bool = False) -> bool:
-    """A line chart of a small result; returns False where no plotting library is installed."""
+def comparison(rates: DataFrame, fprs: Sequence[float] = (0.05, 0.01)) -> DataFrame:
+    """(mode, method, label, raw_auroc, clipped_auroc, and raw and clipped rates at each false-positive rate) of (mode, method, clipped, fpr, tpr, auroc)."""
+    names = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+
+    def value(column: str, clipped: bool, fpr: float | None = None) -> Column:
+        wanted = F.col("clipped") == F.lit(clipped)
+        return F.round(F.avg(F.when(wanted if fpr is None else wanted & (F.abs(F.col("fpr") - fpr) < 1e-12), F.col(column))), 6)
+
+    both = (("raw", False), ("clipped", True))
+    out = [value("auroc", c).alias(f"{n}_auroc") for n, c in both] + [value("tpr", c, f).alias(f"{n}_tpr_at_{round(100 * f)}_fpr") for f in fprs for n, c in both]
+    return rates.groupBy("mode", "method").agg(*out).withColumn("label", F.coalesce(names[F.col("method")], F.col("method")))
+
+
+def plot_curves(metrics: DataFrame, path: str, x: str = "ratio", y: Sequence[str] = ("raw_tpr_at_5_fpr", "clipped_tpr_at_5_fpr"), log_x: bool = False, panels: str | None = "mode") -> bool:
+    """A line chart of a small result, with a panel for each value of ``panels`` and each column; returns False where no plotting library is installed."""
     try:
         import matplotlib
     except ImportError:
@@ -57,13 +70,18 @@ def plot_curves(metrics: DataFrame, path: str, x: str = "ratio", y: Sequence[str
     import matplotlib.pyplot as plt
 
     rows = metrics.toPandas().sort_values(x)
-    fig, axis = plt.subplots()
-    for method, part in rows.groupby("method"):
-        for column in y:
-            axis.plot(part[x], part[column], label=f"{LABELS.get(method, method)} {column}")
-    if log_x:
-        axis.set_xscale("log")
-    axis.legend()
+    parts = list(rows.groupby(panels)) if panels in rows.columns else [("", rows)]
+    fig, axes = plt.subplots(len(parts), len(y), squeeze=False, figsize=(6 * len(y), 4 * len(parts)))
+    for (name, part), line in zip(parts, axes):
+        for column, axis in zip(y, line):
+            for method, own in part.groupby("method"):
+                axis.plot(own[x], own[column], label=LABELS.get(method, method))
+            axis.set_title(f"{name} {column}".strip())
+            axis.set_xlabel(x)
+            if log_x:
+                axis.set_xscale("log")
+            axis.legend()
+    fig.tight_layout()
     fig.savefig(path)
     plt.close(fig)
     return True
