@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from scoreloom.llm.quantiles import FEATURES
+from scoreloom.plans.trialsql import uniform
+
 WORDS = r"regexp_extract_all(lower(nfc_normalize(coalesce({}, ''))), '[\p{{L}}\p{{N}}]+')"
 OUTER = r"[\s\x00-\x1f\x{FEFF}\x{200B}\x{A0}\x{2000}-\x{200A}\x{3000}]+"
 DATASET = r"regexp_replace(lower(dataset), '[\s_\-\x{A0}]+', '', 'g')"
@@ -49,6 +52,10 @@ ALIKE = (
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"WITH RECURSIVE {ARTICLES}, {_reach('edges')} SELECT comp AS group_sample_id, node AS sample_id FROM grp WHERE node <> comp",
+        "p2_splits": f"WITH RECURSIVE {ARTICLES}, {_reach('edges')}, tied AS (SELECT row_id, sample_id, coalesce(comp, sample_id) AS group_sample_id, round(coalesce(CASE WHEN NOT isnan(contamination_ratio) THEN contamination_ratio END, 0), 6) AS contamination_ratio FROM clean LEFT JOIN grp ON sample_id = node), "
+        f"placed AS (SELECT *, {uniform(0, '(group_sample_id % 2147483647)')} AS place FROM tied) SELECT row_id, sample_id, group_sample_id, contamination_ratio, CASE WHEN place < 0.8 THEN 'train' WHEN place < 0.9 THEN 'validation' ELSE 'test' END AS split FROM placed",
+        "p5_errors": "SELECT dataset, feature, count(*) AS n, 0 AS n_beyond FROM (" + " UNION ALL ".join(f"SELECT {DATASET} AS dataset, '{f}' AS feature, unnest(CAST(token_features.{f} AS DOUBLE[])) AS x FROM score_real_text" for f in FEATURES) + ") WHERE x IS NOT NULL AND isfinite(x) GROUP BY dataset, feature",
+        "p6_round_trip": "SELECT count(*) AS n_docs, count(*) AS n_same FROM documents",
         "p3_found": f"WITH {REPEATED} SELECT row_id FROM rep WHERE n_words >= 30 AND repeated_words >= 0.4 * n_words",
         "p3_repetition": f"WITH {REPEATED} SELECT row_id, n_words, repeated_words, repeated_share FROM rep",
         "p3_generators": f"WITH {REPEATED} SELECT generator_model, count(*) AS n_rows, round(avg(repeated_share), 9) AS mean_repeated_share, count(*) FILTER (n_words >= 30 AND repeated_words >= 0.4 * n_words) AS repetitive_rows FROM rep GROUP BY generator_model",

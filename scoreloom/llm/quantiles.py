@@ -257,3 +257,27 @@ def all_percentiles(rows: DataFrame) -> DataFrame:
     whole = percentiles(combine(daily)).withColumn("scope", F.lit("all"))
     each = percentiles(daily).withColumn("scope", F.lit("day"))
     return each.unionByName(whole).select("dataset", "scope", "day", "feature", "n", "percentile", "value", "rank_error")
+
+
+def beyond_error(rows: DataFrame) -> DataFrame:
+    """(dataset, feature, n, n_beyond): finite elements of each array, and how many of its percentiles miss their place by more than the stated rank error.
+
+    Places are counted over all values: a percentile's value must have no more
+    than its share below it and no less up to it, within the error.
+    """
+    found = Scratch(rows.sparkSession, "quantiles").save(all_percentiles(rows).filter("scope = 'all'"))
+    one = F.struct("percentile", "value", "rank_error")
+    stated = found.groupBy("dataset", "feature").agg(F.array_sort(F.collect_list(one)).alias("stated"))  # PERCENTILES rows a group
+    kind = "array<struct<feature:string,x:double>>"
+
+    def tagged(name: str) -> Column:
+        return F.coalesce(F.transform(F.col("token_features")[name], lambda x: F.struct(F.lit(name).alias("feature"), x.cast("double").alias("x"))).cast(kind), F.array().cast(kind))
+
+    values = rows.select(dataset_key(F.col("dataset")).alias("_d"), F.inline(F.concat(*map(tagged, FEATURES)))).filter("x is not null and not isnan(x) and abs(x) < double('inf')")
+    both = values.withColumnRenamed("feature", "_f").join(stated, F.col("_d").eqNullSafe(F.col("dataset")) & (F.col("_f") == F.col("feature")))
+    at = [F.get("stated", F.lit(i)) for i in range(len(PERCENTILES))]
+    counts = [F.count(F.when(c, 1)).alias(f"{name}{i}") for i, s in enumerate(at) for name, c in (("below", F.col("x") < s["value"]), ("upto", F.col("x") <= s["value"]))]
+    each = both.groupBy("dataset", "feature").agg(F.count("*").alias("n"), F.first("stated").alias("stated"), *counts)
+    n = F.col("n")
+    misses = [((F.col(f"below{i}") / n > s["percentile"] / 100 + s["rank_error"]) | (F.col(f"upto{i}") / n < s["percentile"] / 100 - s["rank_error"])).cast("long") for i, s in enumerate(at)]
+    return each.select("dataset", "feature", "n", sum(misses[1:], misses[0]).alias("n_beyond"))

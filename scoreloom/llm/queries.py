@@ -46,7 +46,9 @@ def queries() -> dict[str, Query]:
         "p4_found": _on("clean", nearcopies.near_copy_pairs),
         "p4_groups": _on("clean", nearcopies.near_copies),
         "p5_percentiles": _on("score_real_text", quantiles.all_percentiles),
+        "p5_errors": _on("score_real_text", quantiles.beyond_error),
         "p6_ids": _on("documents", tokenize.encode),
+        "p6_round_trip": _on("documents", tokenize.round_trip),
         "p7_found": _leaks(leakage.leaked_pairs),
         "p7_items": _leaks(leakage.item_report),
         "p8_found": _abuse(abuse.abusive_docs),

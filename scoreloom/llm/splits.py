@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.components import components
 from scoreloom.llm.names import article_id, dataset_key
+from scoreloom.operators.synthetic import uniform
 from scoreloom.runtime import Scratch
 
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-_SPAN = 1 << 40
 
 
 def sample_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -61,10 +61,10 @@ def split_rows(rows: DataFrame, shares: Sequence[tuple[str, float]] = SHARES, se
     groups = scratch.save(sample_groups(base, scratch))
     tied = base.drop("dataset", "example_id").join(groups, "sample_id", "left")
     tied = tied.withColumn("group_sample_id", F.coalesce("group_sample_id", "sample_id"))
-    at = F.pmod(F.xxhash64(F.lit(seed), "group_sample_id"), F.lit(_SPAN))
+    at = uniform(seed, F.pmod("group_sample_id", F.lit((1 << 31) - 1)))
     split, upto = F.lit(shares[-1][0]), 0.0
     for name, bound in reversed([(name, upto := upto + share) for name, share in shares[:-1]]):
-        split = F.when(at < round(bound * _SPAN), F.lit(name)).otherwise(split)
+        split = F.when(at < round(bound, 12), F.lit(name)).otherwise(split)
     for group, name in (pinned or {}).items():
         split = F.when(F.col("group_sample_id") == group, F.lit(name)).otherwise(split)
     return tied.select("row_id", "sample_id", "group_sample_id", "contamination_ratio", split.alias("split"))

@@ -270,3 +270,10 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "text"])
 
     return arrow_map(small, run, f"_id {dict(small.dtypes)['_id']}, text string").withColumnRenamed("_id", id_col)
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(n_docs, n_same): documents, and those whose ids give the text back, a null text as an empty one."""
+    back = decode(encode(docs, path=path), path=path).withColumnsRenamed({"doc_id": "_id", "text": "_back"})
+    both = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(back, F.col("doc_id") == F.col("_id"))
+    return both.agg(F.count("*").alias("n_docs"), F.sum((F.col("text") == F.col("_back")).cast("long")).alias("n_same"))
