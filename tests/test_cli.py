@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from scoreloom import cli
 from scoreloom.operators import prepare as P
-from scoreloom.operators import samples as S
 from scoreloom.sources import records as R
 
 
@@ -40,11 +39,9 @@ def test_from_corpus_to_scores(spark, tmp_path):
 
 
 def test_two_sets_of_scores(spark, small, tmp_path):
-    rows = S.sources(S.with_ratio(spark.read.parquet(f"{small}/score_real_text.parquet")))
-    keys = rows.filter("score_source = 'primary'").select(*S.KEY).distinct().intersect(rows.filter("score_source = 'binoculars'").select(*S.KEY).distinct())
-    for name in ("primary", "binoculars"):
-        own = rows.filter(F.col("score_source") == name)
-        own.join(keys, list(S.KEY), "left_semi").drop("ratio", "dataset_key", "score_source").write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = spark.read.parquet(f"{small}/score_real_text.parquet").filter("scoring_reference_model is not null")
+    rows.withColumn("scoring_reference_model", F.lit(None).cast("string")).write.parquet(str(tmp_path / "primary.parquet"))
+    rows.write.parquet(str(tmp_path / "binoculars.parquet"))
     assert cli.main(["evaluate", "--scores", str(tmp_path / "primary.parquet"), "--binoculars-scores", str(tmp_path / "binoculars.parquet"), "--out", str(tmp_path / "eval")]) == 0
     metrics = spark.read.option("header", True).csv(str(tmp_path / "eval/metrics.csv")).collect()
     assert {(r.method, r.score_source) for r in metrics} >= {("binoculars", "binoculars"), ("lrr", "primary")}
